@@ -7,6 +7,7 @@ import importlib
 #: (module, function) of each query; a module's ORACLE is its SQL.
 _MODULES = {
     "op5_exact_dedup": "exact_dedup",
+    "op6_near_dedup": "near_dedup",
 }
 
 
