@@ -6,6 +6,8 @@ import importlib
 
 #: (module, function) of each query; a module's ORACLE is its SQL.
 _MODULES = {
+    "op7_token_counts": "token_counts",
+    "op10_bpe": "bpe",
     "op1_decontaminate": "decontaminate",
     "op4_line_dedup": "line_dedup",
     "op5_exact_dedup": "exact_dedup",
