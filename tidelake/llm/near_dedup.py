@@ -185,20 +185,25 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
 
     search = _Search(docs, classes.drop("bands"))
     rows = materialize(classes.select("vid", F.explode("bands").alias("bucket")), "bands")
-    buckets = rows.groupBy("bucket").agg(F.min("vid").alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1")
-    live = materialize(rows.join(buckets.select("bucket", F.col("hub")).hint("shuffle_merge"), "bucket"), "live")
-    first = live.filter("vid != hub").select(F.col("hub").alias("a"), F.col("vid").alias("b")).distinct()
+    buckets = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    live = materialize(rows.join(buckets.hint("shuffle_merge"), "bucket"), "live")
+    # the member whose buckets are the fullest: of edited copies of one text, that text
+    weight = live.groupBy("vid").agg(F.sum("m").alias("weight"))
+    live = live.select("bucket", "vid").join(weight.hint("shuffle_merge"), "vid")
+    live = materialize(live.withColumn("rank", F.struct("weight", (-F.col("vid")).alias("less"))).drop("weight"), "ranked")
+    hubs = live.groupBy("bucket").agg(F.max_by("vid", "rank").alias("hub"))
+    first = live.join(hubs.hint("shuffle_merge"), "bucket").filter("vid != hub")
+    first = first.select(F.least("vid", "hub").alias("a"), F.greatest("vid", "hub").alias("b")).distinct()
     labels = components(search.verify(search.screened(first)))
 
-    live = live.select("bucket", "vid")
     for last in (False, True):
         now = _labelled(live, labels)
-        mixed = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max_by("vid", "comp").alias("hub")).filter("lo < hi")
+        mixed = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max_by("vid", F.struct("comp", "rank")).alias("hub")).filter("lo < hi")
         mixed = materialize(mixed, "mixed")
         if not last:
             pairs = search.screened(_hub_pairs(now, mixed.select("bucket", "hub", F.col("hi").alias("hub_comp"))))
         else:
-            rest = materialize(now.join(mixed.select("bucket"), "bucket").join(search.info.hint("shuffle_merge"), "vid"), "rest")
+            rest = materialize(now.drop("rank").join(mixed.select("bucket"), "bucket").join(search.info.hint("shuffle_merge"), "vid"), "rest")
             x, y = rest.alias("x"), rest.alias("y")
             on = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.vid") < F.col("y.vid")) & (F.col("x.comp") != F.col("y.comp")) & _alike("x", "y")
             pairs = x.join(y.hint("shuffle_merge"), on).select(F.col("x.vid").alias("a"), F.col("y.vid").alias("b")).distinct()
