@@ -6,6 +6,7 @@ import importlib
 
 #: (module, function) of each query; a module's ORACLE is its SQL.
 _MODULES = {
+    "op2_html_extract": "html_extract",
     "op8_language_id": "lang_id",
     "op7_token_counts": "token_counts",
     "op10_bpe": "bpe",
