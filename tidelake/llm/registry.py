@@ -6,6 +6,7 @@ import importlib
 
 #: (module, function) of each query; a module's ORACLE is its SQL.
 _MODULES = {
+    "op9_token_shards": "token_shards",
     "op3_substring_dedup": "substring_dedup",
     "op2_html_extract": "html_extract",
     "op8_language_id": "lang_id",
