@@ -7,9 +7,9 @@
    far below the threshold is seen without its sets.
 4. What remains is compared on the full sets: ``100 * |A & B| >= 85 * |A | B|``.
 
-In a bucket the members are first compared with a hub (two rounds with different hubs);
-only members that are then still in different components are compared with each other,
-so a group of n near copies costs about n comparisons, yet no candidate is left out.
+In a bucket the members are first compared with a hub, the member with the fullest buckets.
+Only components that share a bucket and are then still apart are compared member by
+member, in tiles of bounded size, where pairs never become rows: no candidate is left out.
 A link of exactly the threshold is missed by all bands with probability
 (1 - 0.85^4)^32 = 6e-11; higher similarities by less.
 
@@ -24,10 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import attach_groups, materialize, table
+from tidelake.llm.common import attach_groups, materialize, n_parts, table
 from tidelake.llm.graph import components
 from tidelake.llm.shingles import U, mix, shingle_sets, slices
 
@@ -38,6 +39,8 @@ SAMPLES = BANDS * PER_BAND
 #: 128 samples at 0.85 differ in 19 on average; 44 (six deviations more) differing samples
 #: give 64 odd bits on average and over 84 with a probability below 1e-4 of that 1e-9.
 SKETCH_BITS, SKETCH_MOST = 256, 84
+#: Members of a tile, and the shingles after which it is closed.
+TILE_ROWS, TILE_SHINGLES = 256, 1 << 19
 _RNG = np.random.Generator(np.random.PCG64(977))
 _A = _RNG.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * U(2) + U(1)
 _B = _RNG.integers(1, 1 << 63, SAMPLES, dtype=np.uint64)
@@ -126,35 +129,118 @@ def _alike(a: str, b: str):
     return sizes & (bits <= SKETCH_MOST)
 
 
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by cluster and size get the number of their tile."""
+    tile, cluster, rows, total = TaskContext.get().partitionId() << 32, None, 0, 0
+    for batch in batches:
+        out = []
+        for c, n in zip(batch.column("cluster").to_pylist(), batch.column("n").to_pylist(), strict=True):
+            if c != cluster or rows >= TILE_ROWS or total >= TILE_SHINGLES:
+                tile, cluster, rows, total = tile + 1, c, 0, 0
+            rows, total = rows + 1, total + n
+            out.append(tile)
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), *batch.columns], ["tile", *batch.schema.names])
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by tile pair and side: links between members of different components."""
+
+    def links(x: list[dict], y: list[dict]) -> pa.RecordBatch:
+        every = np.concatenate([r["set"] for r in y])
+        universe, at = np.unique(every, return_inverse=True)
+        size = np.array([len(r["set"]) for r in y])
+        starts = np.cumsum(size) - size
+        comp, vid = np.array([r["comp"] for r in y]), np.array([r["vid"] for r in y])
+        sketch = np.array([r["sketch"] for r in y], np.int64)
+        flag = np.zeros(len(universe) + 1, np.int32)
+        a, b = [], []
+        for r in x:
+            n = len(r["set"])
+            may = (comp != r["comp"]) & (size * 100 >= n * THRESHOLD) & (n * 100 >= size * THRESHOLD)
+            may &= np.bitwise_count(sketch ^ np.array(r["sketch"], np.int64)).sum(axis=1) <= SKETCH_MOST
+            if not may.any():
+                continue
+            own = np.searchsorted(universe, r["set"])
+            own = own[universe[np.minimum(own, len(universe) - 1)] == r["set"]]
+            flag[own] = 1
+            same = np.add.reduceat(flag[at], starts)
+            flag[own] = 0
+            hit = np.flatnonzero(may & (same * 100 >= (n + size - same) * THRESHOLD))
+            _, first = np.unique(comp[hit], return_index=True)  # one link to each component will do
+            a += [r["vid"]] * len(first)
+            b += vid[hit[first]].tolist()
+        return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    now, sides = None, ([], [])
+    for batch in batches:
+        names = [f"s{i}" for i in range(SKETCH_BITS // 64)]
+        values = batch.column("set").flatten().to_numpy()
+        ends = np.cumsum(pa.compute.list_value_length(batch.column("set")).to_numpy(zero_copy_only=False))
+        table_ = batch.drop_columns(["set"]).to_pylist()
+        for row, a, b in zip(table_, [0, *ends[:-1]], ends, strict=True):
+            if (row["t0"], row["t1"]) != now:
+                if now is not None:
+                    yield links(*sides)
+                now, sides = (row["t0"], row["t1"]), ([], [])
+            sides[row["side"]].append({"vid": row["vid"], "comp": row["comp"], "sketch": [row[k] for k in names], "set": values[a:b]})
+    if now is not None:
+        yield links(*sides)
+
+
 class _Search:
     """Links between classes, found round by round."""
 
     def __init__(self, docs: DataFrame, classes: DataFrame):
         self.docs, self.classes = docs, classes
         self.info = classes.select("vid", "n", *[f"s{i}" for i in range(SKETCH_BITS // 64)])
-        self.tested: DataFrame | None = None
-        self.links: DataFrame | None = None
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b), those linked on their full sets, with both tested and linked kept in mind."""
-        if self.tested is not None:
-            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        need = pairs.select(F.col("a").alias("vid")).union(pairs.select("b")).distinct()
-        need = materialize(self.classes.select("vid", "first_id", "k0", "k1").join(need, "vid"), "need")
+    def sets_of(self, vids: DataFrame) -> DataFrame:
+        """vid, set: the full shingle set of each of some classes, made from their texts again."""
+        need = materialize(self.classes.select("vid", "first_id", "k0", "k1").join(vids, "vid"), "need")
         ids = need.select(F.col("first_id").alias("_id")).distinct()
         texts = self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
         sets = texts.mapInArrow(_sets, "k0 long, k1 long, set array<long>").join(need.select("vid", "k0", "k1"), ["k0", "k1"])
-        sets = materialize(sets.select("vid", "set").dropDuplicates(["vid"]), "sets")
+        return materialize(sets.select("vid", "set").dropDuplicates(["vid"]), "sets")
+
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b), those linked on their full sets."""
+        pairs = materialize(pairs, "pairs")
+        sets = self.sets_of(pairs.select(F.col("a").alias("vid")).union(pairs.select("b")).distinct())
         both = pairs.join(sets.select(F.col("vid").alias("b"), F.col("set").alias("sb")).hint("shuffle_merge"), "b")
         both = both.join(sets.select(F.col("vid").alias("a"), F.col("set").alias("sa")).hint("shuffle_merge"), "a")
         same = F.size(F.array_intersect("sa", "sb"))
         linked = both.select("a", "b", ((same * 100) >= (F.size("sa") + F.size("sb") - same) * THRESHOLD).alias("linked"))
         linked = materialize(linked, "linked")
-        self.tested = linked.select("a", "b") if self.tested is None else self.tested.union(linked.select("a", "b"))
-        links = linked.filter("linked").select("a", "b")
-        self.links = links if self.links is None else self.links.union(links)
-        return self.links
+        return linked.filter("linked").select("a", "b")
+
+    def rest(self, live: DataFrame) -> DataFrame:
+        """Links that are still missing between components which share a bucket.
+
+        Such components' members form clusters; a cluster is cut into tiles by set size,
+        and every two tiles that can hold a link are compared in one task of bounded
+        memory.  Pairs are not rows: only links leave the task.
+        """
+        parts = n_parts(live.sparkSession)
+        mixed = live.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("vid").alias("low")).filter("lo < hi")
+        some = materialize(live.join(mixed.select("bucket", "low").hint("shuffle_merge"), "bucket").select("vid", "comp", "low"), "rest")
+        cluster = components(some.select(F.col("vid").alias("a"), F.col("low").alias("b")).distinct())
+        members = some.select("vid", "comp").distinct().join(self.info.hint("shuffle_merge"), "vid")
+        members = _labelled(members.withColumnRenamed("comp", "own"), cluster).withColumnsRenamed({"comp": "cluster", "own": "comp"})
+        members = members.select("cluster", "n", "vid", "comp", *[f"s{i}" for i in range(SKETCH_BITS // 64)])
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema.fields)
+        tiled = members.repartitionByRange(parts, "cluster", "n", "vid").sortWithinPartitions("cluster", "n", "vid").mapInArrow(_tiles, f"tile long, {schema}")
+        tiled = materialize(tiled, "tiles")
+        tiles = tiled.groupBy("cluster", "tile").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+        x, y = tiles.alias("x"), tiles.alias("y")
+        sizes = (F.col("x.n1") * 100 >= F.col("y.n0") * THRESHOLD) & (F.col("y.n1") * 100 >= F.col("x.n0") * THRESHOLD)
+        differ = (F.col("x.c0") != F.col("x.c1")) | (F.col("y.c0") != F.col("y.c1")) | (F.col("x.c0") != F.col("y.c0"))
+        both = x.join(y.hint("shuffle_merge"), (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.tile") <= F.col("y.tile")) & sizes & differ)
+        both = materialize(both.select(F.col("x.tile").alias("t0"), F.col("y.tile").alias("t1")), "tile_pairs")
+        sides = both.select("t0", "t1", F.lit(0).alias("side"), F.col("t0").alias("tile")).union(both.select("t0", "t1", F.lit(1), F.col("t1")))
+        sets = self.sets_of(tiled.select("vid"))
+        rows = sides.join(tiled.drop("cluster", "n").join(sets.hint("shuffle_merge"), "vid").hint("shuffle_merge"), "tile")
+        rows = rows.repartition(parts, "t0", "t1").sortWithinPartitions("t0", "t1", "side")
+        return materialize(rows.mapInArrow(_compare, "a long, b long"), "more_links")
 
     def screened(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose sizes and sketches allow a link."""
@@ -169,11 +255,6 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return found.withColumn("comp", F.coalesce("comp", "vid"))
 
 
-def _hub_pairs(live: DataFrame, hubs: DataFrame) -> DataFrame:
-    pairs = live.join(hubs.hint("shuffle_merge"), "bucket").filter((F.col("vid") != F.col("hub")) & (F.col("comp") != F.col("hub_comp")))
-    return pairs.select(F.least("vid", "hub").alias("a"), F.greatest("vid", "hub").alias("b")).distinct()
-
-
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -194,20 +275,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
     hubs = live.groupBy("bucket").agg(F.max_by("vid", "rank").alias("hub"))
     first = live.join(hubs.hint("shuffle_merge"), "bucket").filter("vid != hub")
     first = first.select(F.least("vid", "hub").alias("a"), F.greatest("vid", "hub").alias("b")).distinct()
-    labels = components(search.verify(search.screened(first)))
-
-    for last in (False, True):
-        now = _labelled(live, labels)
-        mixed = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max_by("vid", F.struct("comp", "rank")).alias("hub")).filter("lo < hi")
-        mixed = materialize(mixed, "mixed")
-        if not last:
-            pairs = search.screened(_hub_pairs(now, mixed.select("bucket", "hub", F.col("hi").alias("hub_comp"))))
-        else:
-            rest = materialize(now.drop("rank").join(mixed.select("bucket"), "bucket").join(search.info.hint("shuffle_merge"), "vid"), "rest")
-            x, y = rest.alias("x"), rest.alias("y")
-            on = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.vid") < F.col("y.vid")) & (F.col("x.comp") != F.col("y.comp")) & _alike("x", "y")
-            pairs = x.join(y.hint("shuffle_merge"), on).select(F.col("x.vid").alias("a"), F.col("y.vid").alias("b")).distinct()
-        labels = components(search.verify(pairs))
+    links = search.verify(search.screened(first))
+    labels = components(links)
+
+    labels = components(links.union(search.rest(_labelled(live.drop("rank"), labels))))
 
     named = _labelled(classes.select("k0", "k1", "vid", "first_id", "size"), labels)
     lowest = named.groupBy("comp").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("_m"))
