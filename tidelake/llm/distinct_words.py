@@ -19,8 +19,9 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from tidelake.llm.common import materialize, n_parts
 
 #: Text in a chunk; a longer document is a chunk of its own.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 16 << 20
 #: Bucket of the row that holds a chunk's documents: after those of its words.
 DOCS = 1 << 30
 _TABLE = "chunk long, bucket int, n long, a binary, b binary, c binary"
@@ -126,30 +127,54 @@ def _read_ipc(data: bytes) -> pa.RecordBatch:
     return next(iter(pa.ipc.open_stream(data)))
 
 
-def _chunk_rows(number: int, ids: list, sizes: list[int], texts: list[list], specials: int, buckets: int, counts: bool) -> Iterator[pa.RecordBatch]:
+class _Chunk:
+    """Documents of a chunk as codes in the order words were first seen."""
+
+    def __init__(self, specials: int):
+        self.known: defaultdict = defaultdict(count().__next__)
+        self.specials, self.held = specials, 0
+        for i in range(specials):
+            self.known[i]  # noqa: B018  the first codes
+        self.ids: list = []
+        self.sizes: list[int] = []
+        self.codes: list[np.ndarray] = []
+
+    def add(self, doc_id, size: int, words: list) -> None:
+        self.ids.append(doc_id)
+        self.sizes.append(size)
+        self.codes.append(np.fromiter(map(self.known.__getitem__, words), np.uint32, len(words)))
+        self.held += size
+
+
+def _chunk_rows(number: int, chunk: _Chunk, buckets: int, counts: bool) -> Iterator[pa.RecordBatch]:
     """Rows of one chunk: words by bucket, then its documents."""
-    freq: Counter = Counter()
-    for words in texts:
-        freq.update(words)
-    order = [*range(specials), *(w for w, _ in freq.most_common() if not isinstance(w, int))]
-    code = {w: i for i, w in enumerate(order)}
+    ids, sizes, specials = chunk.ids, chunk.sizes, chunk.specials
+    every = np.concatenate(chunk.codes)
+    seen = list(chunk.known)
+    often = np.bincount(every, minlength=len(seen))
+    often[:specials] = len(every) + 1  # these keep their codes
+    order = np.argsort(-often, kind="stable")
+    code = np.empty(len(seen), np.uint32)
+    code[order] = np.arange(len(seen), dtype=np.uint32)
     dealt: list[list[int]] = [[] for _ in range(buckets)]
-    for i in range(specials, len(order)):
-        dealt[zlib.crc32(order[i].encode()) % buckets].append(i)
     rows: dict[str, list] = {k: [] for k in ("chunk", "bucket", "n", "a", "b", "c")}
-    for b, codes in enumerate(dealt):
-        if codes:
-            words = [order[i].encode() for i in codes]
-            for k, v in zip(rows, (number, b, len(codes), _pack(np.array(codes, np.uint32)), _pack(np.fromiter(map(len, words), np.uint32, len(words))), b"".join(words)), strict=True):
+    spelled = [b"" if isinstance(w, int) else w.encode() for w in seen]
+    for i in order[specials:].tolist():
+        dealt[zlib.crc32(spelled[i]) % buckets].append(i)
+    for b, own in enumerate(dealt):
+        if own:
+            words = [spelled[i] for i in own]
+            for k, v in zip(rows, (number, b, len(own), _pack(np.diff(code[own], prepend=np.uint32(0))), _pack(np.fromiter(map(len, words), np.uint32, len(words))), pa.compress(b"".join(words), codec="zstd", asbytes=True)), strict=True):
                 rows[k].append(v)
-    every = np.fromiter((code[w] for words in texts for w in words), np.uint32, sum(map(len, texts)))
-    n = np.fromiter(map(len, texts), np.int64, len(texts))
+    every = code[every]
+    n = np.fromiter(map(len, chunk.codes), np.int64, len(ids))
     times = np.zeros(0, np.uint32)
     if counts and len(every):
         got = [np.unique(x, return_counts=True) for x in np.split(every, np.cumsum(n)[:-1])]
         every, times = np.concatenate([x for x, _ in got]).astype(np.uint32), np.concatenate([x for _, x in got]).astype(np.uint32)
         n = np.array([len(x) for x, _ in got], np.int64)
-    meta = _ipc(doc_id=pa.array(ids, pa.int64()), n_bytes=pa.array(sizes, pa.int64()), n=pa.array(n), top=pa.array([len(order)] * len(n), pa.int64()))
+        every = np.diff(every, prepend=np.uint32(0))  # ascending in a document: small steps
+    meta = _ipc(doc_id=pa.array(ids, pa.int64()), n_bytes=pa.array(sizes, pa.int64()), n=pa.array(n), top=pa.array([len(seen)] * len(n), pa.int64()))
     halves = [_pack((every & 0xFFFF).astype(np.uint16)), _pack((every >> 16).astype(np.uint16))]
     body = _ipc(lo=[halves[0]], hi=[halves[1]], times=[_pack(times)], kept=[len(times)])
     for k, v in zip(rows, (number, DOCS, len(every), meta, body, b""), strict=True):
@@ -166,22 +191,17 @@ def chunks(docs: DataFrame, vocabulary, counts: bool, text: str = "text", id_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = WordSplitter(vocabulary.value)
-        number, held = TaskContext.get().partitionId() << 32, 0
-        ids: list = []
-        sizes: list[int] = []
-        texts: list[list] = []
+        number = TaskContext.get().partitionId() << 32
+        chunk = _Chunk(len(split.special))
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 size = len((t or "").encode())
-                if texts and held + size > CHUNK_BYTES:
-                    yield from _chunk_rows(number, ids, sizes, texts, len(split.special), buckets, counts)
-                    number, held, ids, sizes, texts = number + 1, 0, [], [], []
-                ids.append(i)
-                sizes.append(size)
-                texts.append(split(t or ""))
-                held += size
-        if texts:
-            yield from _chunk_rows(number, ids, sizes, texts, len(split.special), buckets, counts)
+                if chunk.ids and chunk.held + size > CHUNK_BYTES:
+                    yield from _chunk_rows(number, chunk, buckets, counts)
+                    number, chunk = number + 1, _Chunk(len(split.special))
+                chunk.add(i, size, split(t or ""))
+        if chunk.ids:
+            yield from _chunk_rows(number, chunk, buckets, counts)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return materialize(rows.mapInArrow(run, _TABLE), "chunks")
@@ -199,8 +219,9 @@ def per_word(table: DataFrame, vocabulary, work: Callable) -> DataFrame:
                     at, known = row["bucket"], {}
                 end = np.cumsum(_unpack(row["b"], np.uint32, row["n"])).tolist()
                 results, begin = [], 0
+                letters = pa.decompress(row["c"], end[-1], codec="zstd", asbytes=True)
                 for e in end:
-                    word = row["c"][begin:e]
+                    word = letters[begin:e]
                     begin = e
                     if word not in known:
                         known[word] = work(split, word.decode())
@@ -229,11 +250,13 @@ def per_chunk(table: DataFrame, results: DataFrame, special: list[bytes], work:
                 found[: len(special)] = special
                 for x in held:
                     begin = 0
-                    for code, n in zip(_unpack(x["a"], np.uint32, x["n"]).tolist(), _unpack(x["b"], np.uint32, x["n"]).tolist(), strict=True):
+                    for code, n in zip(np.cumsum(_unpack(x["a"], np.uint32, x["n"]), dtype=np.uint32).tolist(), _unpack(x["b"], np.uint32, x["n"]).tolist(), strict=True):
                         found[code] = x["c"][begin : begin + n]
                         begin += n
                 held = []
                 codes = _unpack(body["lo"], np.uint16, row["n"]).astype(np.uint32) | (_unpack(body["hi"], np.uint16, row["n"]).astype(np.uint32) << 16)
+                if body["kept"]:
+                    codes = np.cumsum(codes, dtype=np.uint32)
                 yield from work(meta, codes, _unpack(body["times"], np.uint32, body["kept"]), found)
 
     every = table.filter(F.col("bucket") == DOCS).unionByName(results)
