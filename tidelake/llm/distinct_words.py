@@ -4,7 +4,8 @@ A task cuts its texts into chunks of bounded size.  In a chunk every word has a
 (frequent words the small ones); its documents are code sequences, or code counts.  The
 distinct words of a chunk are dealt into buckets by a hash of the word, so that all
 chunks' copies of one word meet in one bucket and are worked on once; what was found
-goes back to each chunk under the words' codes.
+goes back to each chunk under the words' codes.  The chunk table is bucketed by chunk:
+in that join only the results move.
 
     chunks(docs)  ->  rows of words by bucket + rows of documents
     per_word()    ->  words by bucket, each distinct word once  ->  results by chunk
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import materialize, n_parts
+from tidelake.llm.common import materialize_buckets, n_parts
 
 #: Text in a chunk; a longer document is a chunk of its own.
 CHUNK_BYTES = 16 << 20
@@ -204,7 +205,7 @@ def chunks(docs: DataFrame, vocabulary, counts: bool, text: str = "text", id_col
             yield from _chunk_rows(number, chunk, buckets, counts)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return materialize(rows.mapInArrow(run, _TABLE), "chunks")
+    return materialize_buckets(rows.mapInArrow(run, _TABLE), "chunks", "chunk", n_parts(docs.sparkSession))
 
 
 def per_word(table: DataFrame, vocabulary, work: Callable) -> DataFrame:
@@ -239,25 +240,23 @@ def per_chunk(table: DataFrame, results: DataFrame, special: list[bytes], work:
     """``work(meta, codes, times, results)`` for each chunk; results: bytes by code."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["bucket"] != DOCS:
-                    held.append(row)
-                    continue
+            for at in range(batch.num_rows):  # a row holds a whole chunk: one at a time
+                row = batch.slice(at, 1).to_pylist()[0]
                 meta, body = _read_ipc(row["a"]), _read_ipc(row["b"]).to_pylist()[0]
                 found: list[bytes] = [b""] * meta.column("top")[0].as_py()
                 found[: len(special)] = special
-                for x in held:
+                for x in row["results"] or ():
                     begin = 0
                     for code, n in zip(np.cumsum(_unpack(x["a"], np.uint32, x["n"]), dtype=np.uint32).tolist(), _unpack(x["b"], np.uint32, x["n"]).tolist(), strict=True):
                         found[code] = x["c"][begin : begin + n]
                         begin += n
-                held = []
                 codes = _unpack(body["lo"], np.uint16, row["n"]).astype(np.uint32) | (_unpack(body["hi"], np.uint16, row["n"]).astype(np.uint32) << 16)
                 if body["kept"]:
                     codes = np.cumsum(codes, dtype=np.uint32)
                 yield from work(meta, codes, _unpack(body["times"], np.uint32, body["kept"]), found)
 
-    every = table.filter(F.col("bucket") == DOCS).unionByName(results)
-    return every.repartition(n_parts(table.sparkSession), "chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(run, schema)
+    # a chunk's results are bounded as the chunk is; its documents stay where they are
+    own = results.groupBy("chunk").agg(F.collect_list(F.struct("n", "a", "b", "c")).alias("results"))
+    docs = table.filter(F.col("bucket") == DOCS).select("chunk", "n", "a", "b")
+    return docs.hint("merge").join(own, "chunk", "left").select("n", "a", "b", "results").mapInArrow(run, schema)
