@@ -28,6 +28,10 @@ def similar_regex(pattern: str, escape: str = "\\") -> str:
             i += 2
             continue
         if in_class:
+            if named := re.match(r"\[:(\w+):\]", pattern[i:]):
+                out += _CLASSES[named[1]]
+                i += len(named[0])
+                continue
             in_class = c != "]"
             out += c
         elif c == "[":
@@ -42,7 +46,7 @@ def similar_regex(pattern: str, escape: str = "\\") -> str:
         else:
             out += re.escape(c)
         i += 1
-    return posix_classes(f"(?s)^(?:{out})\\z")
+    return f"(?s)^(?:{out})\\z"
 
 
 def similar_to(c: Column | str, pattern: str, escape: str = "\\") -> Column:
