@@ -7,8 +7,8 @@
    anchor, and searched by a suffix array (``suffix_array``): a window is repeated if it
    shares 200 bytes with a neighbour in suffix order.
 3. An anchor with over ``MOST_TEXTS`` different runs (a passage in very many documents) is
-   split: its windows are told apart by 128-bit hashes, first of the middle that a block
-   of them shares, then, where that repeats, of each window.
+   split: blocks of its windows are told apart by 128-bit hashes of their whole texts and
+   of the middle their windows share, and halved where only the middle repeats.
 4. Repeated windows become byte spans of the documents, which are cut out.
 
 Texts are judged as they came, whole, as UTF-8 bytes; matches never cross documents.
@@ -166,38 +166,56 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from done(group)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of windows of a split anchor's runs, with hashes of the middle all their windows share."""
-    for batch in batches:
-        out: dict[str, list] = {k: [] for k in ("key", "th", "off", "c0", "c1", "bytes")}
-        for key, th, data in zip(*(batch.column(k).to_pylist() for k in ("key", "th", "bytes")), strict=True):
-            raw = np.frombuffer(data, np.uint8)
-            hashes = _Hashes(raw)
-            grams = hashes.of(np.arange(len(raw) - ANCHOR + 1), ANCHOR)
-            at = int(np.flatnonzero(grams.view(np.int64) == key)[0])
-            m = len(raw) - LEAST + 1
-            # blocks by the distance from window to anchor, so that equal windows are in equal blocks
-            far = at - np.arange(m)
-            for b in np.unique(far // BLOCK):
-                own = np.flatnonzero(far // BLOCK == b)
-                begin, length = at - int(b) * BLOCK, LEAST - BLOCK + 1
-                # the middle: from the nearest possible window's start to the farthest's end
-                where = np.array([begin])
-                c0, c1 = hashes.of(where, length, 3)[0], hashes.of(where, length, 5)[0]
-                for k, v in zip(out, (key, th, int(own[0]), int(c0.view(np.int64)), int(c1.view(np.int64)), data[own[0] : own[-1] + LEAST]), strict=True):
-                    out[k].append(v)
-        if out["key"]:
-            yield pa.RecordBatch.from_pydict(out)
+def _blocks(size: int):
+    """Texts of a split anchor in blocks of ``size`` windows, with hashes of the middle that all
+    windows of a block share (c0, c1) and of the block's whole text (f0, f1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {k: [] for k in ("key", "th", "off", "c0", "c1", "f0", "f1", "bytes")}
+            for key, th, base, data in zip(*(batch.column(k).to_pylist() for k in ("key", "th", "off", "bytes")), strict=True):
+                raw = np.frombuffer(data, np.uint8)
+                hashes = _Hashes(raw)
+                grams = hashes.of(np.arange(len(raw) - ANCHOR + 1), ANCHOR)
+                at = int(np.flatnonzero(grams.view(np.int64) == key)[0])
+                # blocks by the distance from window to anchor, so that equal windows are in equal blocks
+                block = (at - np.arange(len(raw) - LEAST + 1)) // size
+                first = np.flatnonzero(np.concatenate([[True], np.diff(block) != 0]))
+                many = np.diff(np.append(first, len(block)))
+                # the middle: from the nearest possible window's start to the farthest one's end
+                begin, middle = at - block[first] * size, LEAST - size + 1
+                c0, c1 = hashes.of(begin, middle, 3).view(np.int64), hashes.of(begin, middle, 5).view(np.int64)
+                f0, f1 = hashes.of(first, many + LEAST - 1, 7).view(np.int64), hashes.of(first, many + LEAST - 1, 9).view(np.int64)
+                for i, (o, m) in enumerate(zip(first.tolist(), many.tolist(), strict=True)):
+                    for k, v in zip(out, (key, th, base + o, int(c0[i]), int(c1[i]), int(f0[i]), int(f1[i]), data[o : o + m + LEAST - 1]), strict=True):
+                        out[k].append(v)
+            if out["key"]:
+                yield pa.RecordBatch.from_pydict(out)
 
+    return run
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for key, th, off, data in zip(*(batch.column(k).to_pylist() for k in ("key", "th", "off", "bytes")), strict=True):
-            raw = np.frombuffer(data, np.uint8)
-            at = np.arange(len(raw) - LEAST + 1)
-            hashes = _Hashes(raw)
-            n = len(at)
-            yield pa.RecordBatch.from_pydict({"key": [key] * n, "th": [th] * n, "off": at + off, "w0": hashes.of(at, LEAST, 7).view(np.int64), "w1": hashes.of(at, LEAST, 9).view(np.int64)})
+
+def _split_search(hot: DataFrame) -> DataFrame:
+    """(key, th, lo, hi) of repeated windows under split anchors.
+
+    A block whose whole text repeats is repeated in all its windows; one whose middle
+    repeats is halved and looked at again; others hold no repeated window.
+    """
+    parts = n_parts(hot.sparkSession)
+    found, left, size = None, hot.select("key", "th", F.lit(0).cast("long").alias("off"), "bytes"), BLOCK
+    schema = "key long, th long, off long, c0 long, c1 long, f0 long, f1 long, bytes binary"
+    while size:
+        blocks = materialize(left.repartition(parts).mapInArrow(_blocks(size), schema), f"blocks{size}")
+        middle = blocks.groupBy("c0", "c1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        some = blocks.join(middle.hint("shuffle_merge"), ["c0", "c1"], "left_semi")
+        whole = blocks.groupBy("f0", "f1").agg(F.count(F.lit(1)).alias("times"))
+        some = materialize(some.join(whole.hint("shuffle_merge"), ["f0", "f1"]).select("key", "th", "off", "bytes", "times", "f0", "f1"), f"some{size}")
+        own = some.filter("times > 1").select("key", "th", F.col("off").alias("lo"), (F.col("off") + F.octet_length("bytes") - (LEAST - 1)).alias("hi"))
+        found = own if found is None else found.unionByName(own)
+        # of equal blocks one goes on, for parts of it may be equal to parts of others
+        left = some.filter("times = 1").unionByName(some.filter("times > 1").dropDuplicates(["f0", "f1"])).select("key", "th", "off", "bytes")
+        size //= 2
+    return found
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,13 +274,7 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     hot = cut.filter("hot")
     if not hot.isEmpty():
         whole = hot.filter("many > 1").select("key", "th", F.lit(0).cast("long").alias("lo"), (F.octet_length("bytes") - (LEAST - 1)).cast("long").alias("hi"))
-        blocks = materialize(hot.repartition(parts).mapInArrow(_blocks, "key long, th long, off long, c0 long, c1 long, bytes binary"), "blocks")
-        shared = blocks.groupBy("c0", "c1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        some = blocks.join(shared.hint("shuffle_merge"), ["c0", "c1"], "left_semi").repartition(parts)
-        windows = materialize(some.mapInArrow(_windows, "key long, th long, off long, w0 long, w1 long"), "windows")
-        equal = windows.groupBy("w0", "w1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        each = windows.join(equal.hint("shuffle_merge"), ["w0", "w1"], "left_semi")
-        found = found.unionByName(whole).unionByName(each.select("key", "th", F.col("off").alias("lo"), (F.col("off") + 1).alias("hi")))
+        found = found.unionByName(whole).unionByName(_split_search(hot))
     return live, found
 
 
