@@ -22,7 +22,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
-from itertools import count
+from itertools import count, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +41,23 @@ _TABLE = "chunk long, bucket int, n long, a binary, b binary, c binary"
 #: Below this code point the quick patterns are checked against the library, character by character.
 PLAIN = 0x250
 
+#: L, N and S stand for the letters, numbers and white space below PLAIN, lower-cased too: explicit classes are quicker than properties.
 _QUICK = {
-    "byte": (False, r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"),
-    "word": (True, r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"),
+    "byte": (False, r"'s|'t|'re|'ve|'m|'ll|'d| ?[L]+| ?[N]+| ?[^SLN]+|[S]+(?![^S])|[S]+"),
+    "word": (True, r"'s|'t|'re|'ve|'m|'ll|'d|[L]+|[N]|[^SLN]+"),
 }
 
 
+def _quick_pattern(template: str) -> re.Pattern:
+    classes = {}
+    seen = sorted({ord(x) for c in range(PLAIN) for x in (chr(c), *chr(c).lower())})
+    for name, kind in (("L", r"\p{L}"), ("N", r"\p{N}"), ("S", r"\s")):
+        own = [c for c in seen if regex.fullmatch(kind, chr(c))]
+        runs = [[x for _, x in g] for _, g in groupby(enumerate(own), lambda x: x[1] - x[0])]
+        classes[name] = "".join(re.escape(chr(r[0])) + (f"-{re.escape(chr(r[-1]))}" if len(r) > 1 else "") for r in runs)
+    return re.compile(re.sub("[LNS]", lambda m: classes[m[0]], template))
+
+
 def _byte_letters() -> dict[int, str]:
     """The letter that byte-level vocabularies use for each byte: printable ones are themselves."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -71,17 +82,18 @@ class WordSplitter:
         self._cut = re.compile("(" + "|".join(re.escape(s) for s, _ in sorted(self.special, key=lambda x: -len(x[0]))) + ")") if added else None
         self._letters = _byte_letters()
         self._odd = re.compile(f"[^\x00-{chr(PLAIN - 1)}]")
-        self.quick = next((q for q in _QUICK.values() if self._agrees(*q)), None)
+        quick = ((low, _quick_pattern(p)) for low, p in _QUICK.values())
+        self.quick = next((q for q in quick if self._agrees(*q)), None)
         if self.quick:
-            self._low, self._find = self.quick[0], regex.compile(self.quick[1]).findall
+            self._low, self._find = self.quick[0], self.quick[1].findall
 
     def _by_library(self, text: str) -> list[str]:
         if self.library.normalizer is not None:
             text = self.library.normalizer.normalize_str(text)
         return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
-    def _agrees(self, low: bool, pattern: str) -> bool:
-        find = regex.compile(pattern).findall
+    def _agrees(self, low: bool, pattern: re.Pattern) -> bool:
+        find = pattern.findall
         for c in map(chr, range(PLAIN)):
             for s in (f"a{c}b '{c}s", f" {c} {c}{c}", f"1{c}2 \n{c}\t x", f"! {c}!{c}"):
                 if find(s.lower() if low else s) != self._by_library(s):

@@ -18,7 +18,9 @@ no rows; other columns are not used.
 from __future__ import annotations
 
 import struct
+import sys
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,23 +68,35 @@ def feistel(x: np.ndarray, n: int, key: int = KEY, inverse: bool = False) -> np.
     return out.astype(np.int64)
 
 
+class _Known(dict):
+    """Ids of words as bytes; a word is encoded when it is first asked for."""
+
+    def __init__(self, split: WordSplitter):
+        super().__init__((i, _ids([t])) for i, (_, t) in enumerate(split.special))
+        self._pieces = split.pieces
+
+    def __missing__(self, word: str) -> bytes:
+        found = self[word] = _ids(self._pieces(word))
+        return found
+
+
+def _ids(ids: list[int]) -> bytes:
+    out = array("H", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 def _encode(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, part = WordSplitter(vocabulary.value), TaskContext.get().partitionId()
-        special = [np.array([i], "<u2").tobytes() for _, i in split.special]
-        known: dict = dict(enumerate(special))
-        number = 0
-        end = np.array([END], "<u2").tobytes()
+        known, number, end = _Known(split), 0, _ids([END])
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("split", "number", "doc_id", "part", "ids")}
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = split(text or "")
                 if len(known) > _KEPT_WORDS:
-                    known = dict(enumerate(special))
-                for w in words:
-                    if w not in known:
-                        known[w] = np.array(split.pieces(w), "<u2").tobytes()
-                ids = b"".join([known[w] for w in words]) + end
+                    known = _Known(split)
+                ids = b"".join(map(known.__getitem__, split(text or ""))) + end
                 for k, at in enumerate(range(0, len(ids), 2 * LENGTH)):
                     for c, v in zip(out, (part, number, doc, k, ids[at : at + 2 * LENGTH]), strict=True):
                         out[c].append(v)
