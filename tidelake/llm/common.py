@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_FOLDERS: list[tuple[SparkSession, str]] = []
+_OWN_TABLES: list[tuple[SparkSession, str]] = []
 _OWN_LOCAL: list[str] = []
 
 #: A group is "large" when it holds at least this share of all rows, so there
@@ -54,11 +55,18 @@ def materialize_buckets(df: DataFrame, name: str, key: str, buckets: int) -> Dat
     writer = df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key)
     writer.saveAsTable(f"tidelake_{name}_{own}")
     _OWN_FOLDERS.append((spark, path.rpartition("/")[0]))
+    _OWN_TABLES.append((spark, f"tidelake_{name}_{own}"))
     return spark.table(f"tidelake_{name}_{own}")
 
 
 def release_tables() -> None:
     """Delete every table ``materialize`` has written in this process."""
+    while _OWN_TABLES:
+        spark, name = _OWN_TABLES.pop()
+        try:
+            spark.sql(f"drop table if exists {name}")
+        except Exception:  # the session has ended, and its catalog with it
+            pass
     while _OWN_FOLDERS:
         spark, path = _OWN_FOLDERS.pop()
         try:
