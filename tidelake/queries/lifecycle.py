@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from datetime import datetime
@@ -9,6 +11,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelake.catalog import Files
 from tidelake.functions.json import leaves, resolve
 from tidelake.queries.base import Registry
 from tidelake.storage import Store
@@ -18,6 +21,18 @@ SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 _JSON = [{"src": "props", "path": ["k"], "name": "props_k", "type": "bigint"}]
 
 
+_ROOTS: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _clean() -> None:
+    """The tables of these queries go when the driver ends."""
+    while _ROOTS:
+        spark, root = _ROOTS.pop()
+        with contextlib.suppress(Exception):  # the session may have ended
+            Files(spark, root).delete(root)
+
+
 def _root(spark: SparkSession) -> str:
     """A folder all executors share, or one of this machine where Spark is local."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -25,7 +40,9 @@ def _root(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         shared = "file://" + tempfile.gettempdir()
-    return f"{shared.rstrip('/')}/tidelake-tables-{uuid.uuid4().hex}"
+    root = f"{shared.rstrip('/')}/tidelake-tables-{uuid.uuid4().hex}"
+    _ROOTS.append((spark, root))
+    return root
 
 
 def sealed_events(spark: SparkSession, events: DataFrame, seal_until: datetime = datetime(2024, 1, 21)) -> Store:
