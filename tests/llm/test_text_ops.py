@@ -321,3 +321,22 @@ def test_pipeline(spark, tmp_path):
     bad = {r["doc_id"] for r in decontaminate.report(frame, spark.read.parquet(f"{sf}/benchmark.parquet")).filter("contaminated").collect()}
     # very short texts may be turned away by the language stage
     assert got <= stay - bad and len(stay - bad - got) <= 2
+
+
+def test_pipeline_drops_a_passage_of_one_item(spark, tmp_path):
+    import corpus_pipeline
+
+    folder, sf = f"{tmp_path}/sf", "/root/testdata/sf0.001"
+    items = [(0, prose(12, 31)), (1, prose(12, 32))]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(100)
+    # words of real documents in another order: near copies of nothing, in a language that can be told
+    a, b = docs.filter("n_chars > 400").orderBy("doc_id").limit(2).collect()
+    turned = [" ".join(reversed(r.text.split())) for r in (a, b)]
+    planted = spark.createDataFrame([(10**6, f"{turned[0]} {items[0][1]}", a.lang, a.source, 0), (10**6 + 1, turned[1], b.lang, b.source, 0)], SCHEMA)
+    docs.select(*planted.columns).unionByName(planted).write.parquet(f"{folder}/documents.parquet")
+    kept = corpus_pipeline.STAGES[3][1](spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+    ids = {r["doc_id"] for r in kept.collect()}
+    assert 10**6 not in ids and ids == {r["doc_id"] for r in docs.collect()} | {10**6 + 1}
+    left = {r["doc_id"] for r in corpus_pipeline.run(spark, folder).collect()}
+    assert 10**6 + 1 in left and left <= ids
