@@ -340,3 +340,23 @@ def test_pipeline_drops_a_passage_of_one_item(spark, tmp_path):
     assert 10**6 not in ids and ids == {r["doc_id"] for r in docs.collect()} | {10**6 + 1}
     left = {r["doc_id"] for r in corpus_pipeline.run(spark, folder).collect()}
     assert 10**6 + 1 in left and left <= ids
+
+
+def test_near_dedup_threshold(spark, tmp_path):
+    import corpus_pipeline
+
+    assert [(near_dedup.n_bands(t), near_dedup.sketch_most(t)) for t in (85, 80)] == [(32, 84), (45, 95)]
+    rows = []
+    for k in range(20):
+        # 100 words have 96 shingles; k % 4 + 1 changed words change 5 each: 0.90, 0.81, 0.73, 0.66
+        w = prose(100, 300 + k).split()
+        rows.append((2 * k, " ".join(w)))
+        for j in range(k % 4 + 1):
+            w[20 * j + 10] = f"edit{k}x{j}"
+        rows.append((2 * k + 1, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    apart = {2 * k + 1 for k in range(20) if k % 4 > 1}
+    kept = {r["doc_id"] for r in corpus_pipeline.STAGES[2][1](spark, df, str(tmp_path)).collect()}
+    assert kept == {2 * k for k in range(20)} | apart
+    kept = {r["doc_id"] for r in near_dedup.near_dedup(df).collect()}
+    assert kept == {2 * k for k in range(20)} | apart | {2 * k + 1 for k in range(20) if k % 4 == 1}

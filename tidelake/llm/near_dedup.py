@@ -5,13 +5,14 @@
 3. The samples are also folded into a parity bitmap (odd sketch): the population count
    of the XOR of two of them grows with the number of differing samples, so a pair
    far below the threshold is seen without its sets.
-4. What remains is compared on the full sets: ``100 * |A & B| >= 85 * |A | B|``.
+4. What remains is compared on the full sets: ``100 * |A & B| >= threshold * |A | B|``.
 
 In a bucket the members are first compared with a hub, the member with the fullest buckets.
 Only components that share a bucket and are then still apart are compared member by
 member, in tiles of bounded size, where pairs never become rows: no candidate is left out.
-A link of exactly the threshold is missed by all bands with probability
-(1 - 0.85^4)^32 = 6e-11; higher similarities by less.
+The threshold sets the number of bands and the sketch limit: a link of exactly the
+threshold is missed by all bands with probability MISS at most ((1 - 0.85^4)^32, 32
+bands at 85; 45 at 80); higher similarities by less.
 
 Defined cases: a text without words is linked with nothing; null is empty; the
 smallest doc_id of a component names it (nulls are passed over); an empty table gives
@@ -20,7 +21,9 @@ no rows; other columns are carried along.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -33,30 +36,53 @@ from tidelake.llm.graph import components
 from tidelake.llm.shingles import U, mix, shingle_sets, slices
 
 WORDS, THRESHOLD = 5, 85
-BANDS, PER_BAND = 32, 4
-SAMPLES = BANDS * PER_BAND
-#: Bits of an odd sketch; most differing bits that a pair at the threshold may show.
-#: 128 samples at 0.85 differ in 19 on average; 44 (six deviations more) differing samples
-#: give 64 odd bits on average and over 84 with a probability below 1e-4 of that 1e-9.
-SKETCH_BITS, SKETCH_MOST = 256, 84
+PER_BAND, MISS = 4, 6.2e-11
+#: Samples that an odd sketch folds, and its bits.
+SAMPLES, SKETCH_BITS = 128, 256
+#: Bytes of text whose sets are made at once; each takes several 64-bit numbers meanwhile.
+SLICE = 1 << 20
 #: Members of a tile, and the shingles after which it is closed.
 TILE_ROWS, TILE_SHINGLES = 256, 1 << 19
-_RNG = np.random.Generator(np.random.PCG64(977))
-_A = _RNG.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * U(2) + U(1)
-_B = _RNG.integers(1, 1 << 63, SAMPLES, dtype=np.uint64)
 
 
-def samples(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def n_bands(threshold: int) -> int:
+    """Bands of PER_BAND samples that a link of exactly the threshold misses with probability MISS at most."""
+    return math.ceil(math.log(MISS) / math.log1p(-((threshold / 100) ** PER_BAND)))
+
+
+def sketch_most(threshold: int) -> int:
+    """Most differing sketch bits that a pair at the threshold may show: 84 at 85, 95 at 80.
+
+    Of SAMPLES samples, d differ: the mean and six deviations.  They give 2 * d flips, whose
+    odd bits are taken up to four deviations over their mean.
+    """
+    t, m = threshold / 100, SKETCH_BITS
+    d = math.ceil(SAMPLES * (1 - t) + 6 * math.sqrt(SAMPLES * t * (1 - t)))
+    one, two = (1 - 2 / m) ** (2 * d), (1 - 4 / m) ** (2 * d)
+    spread = m / 4 * (1 - one * one) + m * (m - 1) / 4 * (two - one * one)
+    return round(m / 2 * (1 - one) + 4 * math.sqrt(spread))
+
+
+@lru_cache
+def _hashes(n: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.Generator(np.random.PCG64(977))
+    a = rng.integers(1, 1 << 63, n, dtype=np.uint64) * U(2) + U(1)
+    return a, rng.integers(1, 1 << 63, n, dtype=np.uint64)
+
+
+def samples(values: np.ndarray, starts: np.ndarray, n: int = SAMPLES) -> np.ndarray:
     """MinHash samples, one row a set; ``values`` are the sets, one after the other, none empty."""
-    out = np.empty((len(starts), SAMPLES), np.uint64)
-    for k in range(SAMPLES):
-        x = (values ^ _B[k]) * _A[k]
+    out = np.empty((len(starts), n), np.uint64)
+    a, b = _hashes(n)
+    for k in range(n):
+        x = (values ^ b[k]) * a[k]
         out[:, k] = np.minimum.reduceat(x ^ (x >> U(32)), starts)
     return out
 
 
 def odd_sketch(s: np.ndarray) -> np.ndarray:
-    """Parity bitmaps of the samples: SKETCH_BITS / 64 words a set."""
+    """Parity bitmaps of the first SAMPLES samples: SKETCH_BITS / 64 words a set."""
+    s = s[:, :SAMPLES]
     at = mix(s + np.arange(SAMPLES, dtype=np.uint64) * U(0x9E3779B97F4A7C15)) & U(SKETCH_BITS - 1)
     out = np.zeros((len(s), SKETCH_BITS // 64), np.uint64)
     rows = np.arange(len(s))
@@ -71,8 +97,8 @@ def estimate(differing: np.ndarray) -> np.ndarray:
 
 
 def bands(s: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(s), BANDS), np.uint64)
-    for b in range(BANDS):
+    out = np.zeros((len(s), s.shape[1] // PER_BAND), np.uint64)
+    for b in range(out.shape[1]):
         h = np.full(len(s), U(b * 0x9E37 + 1))
         for k in range(b * PER_BAND, (b + 1) * PER_BAND):
             h = mix(h * U(0xD6E8FEB86659FD93) + s[:, k])
@@ -88,30 +114,30 @@ def set_keys(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
 _SIGNATURE = "doc_id long, n long, k0 long, k1 long, " + ", ".join(f"s{i} long" for i in range(SKETCH_BITS // 64)) + ", bands array<long>"
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signatures(batches: Iterator[pa.RecordBatch], n_bands: int) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in slices(whole, "text"):
+        for batch in slices(whole, "text", SLICE):
             sets = list(shingle_sets(batch.column("text"), WORDS))
             n = np.array([len(x) for x in sets], np.int64)
             some = np.flatnonzero(n)
             cols = {"doc_id": batch.column("doc_id"), "n": n}
             k = np.zeros((2, len(n)), np.uint64)
-            sk, bd = np.zeros((len(n), SKETCH_BITS // 64), np.uint64), np.zeros((len(n), BANDS), np.uint64)
+            sk, bd = np.zeros((len(n), SKETCH_BITS // 64), np.uint64), np.zeros((len(n), n_bands), np.uint64)
             if len(some):
                 values = np.concatenate([sets[i] for i in some])
                 starts = np.concatenate([[0], np.cumsum(n[some])[:-1]])
-                got = samples(values, starts)
-                k[:, some], sk[some], bd[some] = np.stack(set_keys(values, starts)), odd_sketch(got), bands(got)
+                got = samples(values, starts, max(n_bands * PER_BAND, SAMPLES))
+                k[:, some], sk[some], bd[some] = np.stack(set_keys(values, starts)), odd_sketch(got), bands(got[:, : n_bands * PER_BAND])
             cols |= {"k0": k[0].view(np.int64), "k1": k[1].view(np.int64)}
             cols |= {f"s{i}": sk[:, i].copy().view(np.int64) for i in range(sk.shape[1])}
             flat = pa.array(bd.reshape(-1).view(np.int64))
-            cols["bands"] = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), flat)
+            cols["bands"] = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * n_bands), flat)
             yield pa.RecordBatch.from_pydict({c: v if isinstance(v, pa.Array) else pa.array(v) for c, v in cols.items()})
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in slices(whole, "text"):
+        for batch in slices(whole, "text", SLICE):
             sets = [x for x in shingle_sets(batch.column("text"), WORDS) if len(x)]
             if not sets:
                 continue
@@ -122,11 +148,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"k0": pa.array(k0.view(np.int64)), "k1": pa.array(k1.view(np.int64)), "set": lists.cast(pa.list_(pa.int64()))})
 
 
-def _alike(a: str, b: str):
+def _alike(a: str, b: str, threshold: int):
     """Sizes and sketches allow the threshold."""
     bits = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(SKETCH_BITS // 64)), F.lit(0))
-    sizes = (F.col(f"{a}.n") * 100 >= F.col(f"{b}.n") * THRESHOLD) & (F.col(f"{b}.n") * 100 >= F.col(f"{a}.n") * THRESHOLD)
-    return sizes & (bits <= SKETCH_MOST)
+    sizes = (F.col(f"{a}.n") * 100 >= F.col(f"{b}.n") * threshold) & (F.col(f"{b}.n") * 100 >= F.col(f"{a}.n") * threshold)
+    return sizes & (bits <= sketch_most(threshold))
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,8 +168,9 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), *batch.columns], ["tile", *batch.schema.names])
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by tile pair and side: links between members of different components."""
+    most = sketch_most(threshold)
 
     def links(x: list[dict], y: list[dict]) -> pa.RecordBatch:
         every = np.concatenate([r["set"] for r in y])
@@ -156,8 +183,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
         for r in x:
             n = len(r["set"])
-            may = (comp != r["comp"]) & (size * 100 >= n * THRESHOLD) & (n * 100 >= size * THRESHOLD)
-            may &= np.bitwise_count(sketch ^ np.array(r["sketch"], np.int64)).sum(axis=1) <= SKETCH_MOST
+            may = (comp != r["comp"]) & (size * 100 >= n * threshold) & (n * 100 >= size * threshold)
+            may &= np.bitwise_count(sketch ^ np.array(r["sketch"], np.int64)).sum(axis=1) <= most
             if not may.any():
                 continue
             own = np.searchsorted(universe, r["set"])
@@ -165,7 +192,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flag[own] = 1
             same = np.add.reduceat(flag[at], starts)
             flag[own] = 0
-            hit = np.flatnonzero(may & (same * 100 >= (n + size - same) * THRESHOLD))
+            hit = np.flatnonzero(may & (same * 100 >= (n + size - same) * threshold))
             _, first = np.unique(comp[hit], return_index=True)  # one link to each component will do
             a += [r["vid"]] * len(first)
             b += vid[hit[first]].tolist()
@@ -190,8 +217,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class _Search:
     """Links between classes, found round by round."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame):
-        self.docs, self.classes = docs, classes
+    def __init__(self, docs: DataFrame, classes: DataFrame, threshold: int):
+        self.docs, self.classes, self.threshold = docs, classes, threshold
         self.info = classes.select("vid", "n", *[f"s{i}" for i in range(SKETCH_BITS // 64)])
 
     def sets_of(self, vids: DataFrame) -> DataFrame:
@@ -209,7 +236,7 @@ class _Search:
         both = pairs.join(sets.select(F.col("vid").alias("b"), F.col("set").alias("sb")).hint("shuffle_merge"), "b")
         both = both.join(sets.select(F.col("vid").alias("a"), F.col("set").alias("sa")).hint("shuffle_merge"), "a")
         same = F.size(F.array_intersect("sa", "sb"))
-        linked = both.select("a", "b", ((same * 100) >= (F.size("sa") + F.size("sb") - same) * THRESHOLD).alias("linked"))
+        linked = both.select("a", "b", ((same * 100) >= (F.size("sa") + F.size("sb") - same) * self.threshold).alias("linked"))
         linked = materialize(linked, "linked")
         return linked.filter("linked").select("a", "b")
 
@@ -232,7 +259,7 @@ class _Search:
         tiled = materialize(tiled, "tiles")
         tiles = tiled.groupBy("cluster", "tile").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
         x, y = tiles.alias("x"), tiles.alias("y")
-        sizes = (F.col("x.n1") * 100 >= F.col("y.n0") * THRESHOLD) & (F.col("y.n1") * 100 >= F.col("x.n0") * THRESHOLD)
+        sizes = (F.col("x.n1") * 100 >= F.col("y.n0") * self.threshold) & (F.col("y.n1") * 100 >= F.col("x.n0") * self.threshold)
         differ = (F.col("x.c0") != F.col("x.c1")) | (F.col("y.c0") != F.col("y.c1")) | (F.col("x.c0") != F.col("y.c0"))
         both = x.join(y.hint("shuffle_merge"), (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.tile") <= F.col("y.tile")) & sizes & differ)
         both = materialize(both.select(F.col("x.tile").alias("t0"), F.col("y.tile").alias("t1")), "tile_pairs")
@@ -240,13 +267,13 @@ class _Search:
         sets = self.sets_of(tiled.select("vid"))
         rows = sides.join(tiled.drop("cluster", "n").join(sets.hint("shuffle_merge"), "vid").hint("shuffle_merge"), "tile")
         rows = rows.repartition(parts, "t0", "t1").sortWithinPartitions("t0", "t1", "side")
-        return materialize(rows.mapInArrow(_compare, "a long, b long"), "more_links")
+        return materialize(rows.mapInArrow(partial(_compare, threshold=self.threshold), "a long, b long"), "more_links")
 
     def screened(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose sizes and sketches allow a link."""
         left = pairs.join(self.info.select(F.struct("*").alias("x"), F.col("vid").alias("a")).hint("shuffle_merge"), "a")
         right = self.info.select(F.struct("*").alias("y"), F.col("vid").alias("b")).hint("shuffle_merge")
-        return left.join(right, (left["b"] == right["b"]) & _alike("x", "y")).select(left["a"], left["b"])
+        return left.join(right, (left["b"] == right["b"]) & _alike("x", "y", self.threshold)).select(left["a"], left["b"])
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -255,16 +282,16 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return found.withColumn("comp", F.coalesce("comp", "vid"))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
+def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: int = THRESHOLD) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept; linked from ``threshold`` percent on."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sig = materialize(docs.mapInArrow(_signatures, _SIGNATURE), "signatures")
+    sig = materialize(docs.mapInArrow(partial(_signatures, n_bands=n_bands(threshold)), _SIGNATURE), "signatures")
     some = sig.filter("n > 0")
     other = ["n", *[f"s{i}" for i in range(SKETCH_BITS // 64)], "bands"]
     classes = some.groupBy("k0", "k1").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("size"), *[F.first(c).alias(c) for c in other])
     classes = materialize(classes.withColumn("vid", F.monotonically_increasing_id()), "classes")
 
-    search = _Search(docs, classes.drop("bands"))
+    search = _Search(docs, classes.drop("bands"), threshold)
     rows = materialize(classes.select("vid", F.explode("bands").alias("bucket")), "bands")
     buckets = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     live = materialize(rows.join(buckets.hint("shuffle_merge"), "bucket"), "live")
@@ -291,12 +318,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
     return found.unionByName(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: int = THRESHOLD) -> DataFrame:
     """``docs`` with one document of each near-duplicate group; all columns as given.
 
     Repeated rows of the id that stays count as one document: one of them is returned.
     """
-    found = materialize(near_duplicates(docs, text, id_col), "near")
+    found = materialize(near_duplicates(docs, text, id_col, threshold), "near")
     stay = found.filter("kept").groupBy(F.col("doc_id").alias("_stay")).agg(F.count(F.lit(1)).alias("_m"))
     kept = docs.join(stay, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_stay")))
     one = kept.filter(F.col("_m") == 1)
