@@ -229,3 +229,13 @@ def test_footer_aggregates(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.sources.useV1SourceList")
         spark.conf.unset("spark.sql.parquet.aggregatePushdown")
+
+
+@pytest.mark.parametrize("name", ["text", "csv", "parquet"])
+def test_loads_take_the_whole_table(spark, name):
+    from tidelake.queries import lifecycle
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    assert events.filter("event_id >= 500").count() > 0
+    got = getattr(lifecycle, f"{name}_loaded")(spark, events).select(*events.columns)
+    assert got.exceptAll(events).isEmpty() and events.exceptAll(got).isEmpty()

@@ -157,41 +157,54 @@ def _compression(spark, load):
     return got.agg(F.bool_and(F.col("bytes") > 0).alias("smaller"), F.bool_and(F.col("rows") > 0).alias("known"))
 
 
-@Q.frame("a07_text_load", "select event_id, ts, user_id, event_type, value, props from events where event_id < 200")
-def _text(spark, load):
+def text_loaded(spark: SparkSession, events: DataFrame) -> DataFrame:
+    """All events, written as text and loaded; what a query returns of them is its SQL's matter."""
     from tidelake.sources import load_text
 
     store = Store(spark, _root(spark))
     store.create_table("events", SCHEMA, "ts", now=datetime(2024, 1, 10))
-    some = load("events").filter("event_id < 200")
-    line = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in some.columns])
-    some.select(line).write.text(f"{store.catalog.root}/in")
+    line = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in events.columns])
+    events.select(line).write.text(f"{store.catalog.root}/in")
     load_text(store, "events", f"{store.catalog.root}/in/part-*")
     return store.read("events")
 
 
-@Q.frame("a08_csv_load", "select event_id, event_type, value, props from events where event_id < 200")
-def _csv(spark, load):
+def csv_loaded(spark: SparkSession, events: DataFrame) -> DataFrame:
+    """All events, written as CSV and loaded."""
     from tidelake.sources import load_csv
 
     store = Store(spark, _root(spark))
     store.create_table("events", SCHEMA, "ts", now=datetime(2024, 1, 10))
-    some = load("events").filter("event_id < 200").withColumn("ts", F.col("ts").cast("string"))
-    some.write.option("header", True).option("escape", '"').csv(f"{store.catalog.root}/in")
+    lines = events.withColumn("ts", F.col("ts").cast("string"))
+    lines.write.option("header", True).option("escape", '"').csv(f"{store.catalog.root}/in")
     load_csv(store, "events", f"{store.catalog.root}/in/part-*", header=True)
-    return store.read("events").select("event_id", "event_type", "value", "props")
+    return store.read("events")
 
 
-@Q.frame("a09_parquet_load", "select event_id, ts, user_id, event_type, value, props from events where event_id < 500")
-def _parquet(spark, load):
+def parquet_loaded(spark: SparkSession, events: DataFrame) -> DataFrame:
+    """All events, written as Parquet and loaded."""
     from tidelake.functions.time import micros
     from tidelake.sources import load_parquet
 
     store = Store(spark, _root(spark))
     store.create_table("events", SCHEMA, "ts", now=datetime(2024, 1, 10))
-    some = load("events").filter("event_id < 500")
     # other order and case of columns, one too many, times as integers
-    some = some.select(F.col("props"), F.col("value").alias("VALUE"), "event_type", "user_id", micros("ts").alias("ts"), "event_id", F.lit(1).alias("extra"))
+    some = events.select(F.col("props"), F.col("value").alias("VALUE"), "event_type", "user_id", micros("ts").alias("ts"), "event_id", F.lit(1).alias("extra"))
     some.write.parquet(f"{store.catalog.root}/in")
     load_parquet(store, "events", f"{store.catalog.root}/in/part-*")
     return store.read("events")
+
+
+@Q.frame("a07_text_load", "select event_id, ts, user_id, event_type, value, props from events where event_id < 200")
+def _text(spark, load):
+    return text_loaded(spark, load("events")).filter("event_id < 200")
+
+
+@Q.frame("a08_csv_load", "select event_id, event_type, value, props from events where event_id < 200")
+def _csv(spark, load):
+    return csv_loaded(spark, load("events")).filter("event_id < 200").select("event_id", "event_type", "value", "props")
+
+
+@Q.frame("a09_parquet_load", "select event_id, ts, user_id, event_type, value, props from events where event_id < 500")
+def _parquet(spark, load):
+    return parquet_loaded(spark, load("events")).filter("event_id < 500")
