@@ -72,9 +72,19 @@ def _series(_, load):
 @Q.frame("r00_hourly_stats", """with h as (select date_trunc('hour', ts) as h, props ->> '$.k' as k, count(*) as n from events where user_id < 100 group by 1, 2)
   select h, k, n, round(avg(n) over (partition by k order by h rows between 3 preceding and current row), 6) as a from h""")
 def _hourly(_, load):
+    return hourly(load("events").filter("user_id < 100"))
+
+
+@Q.frame("r00_hourly_stats_all", """with h as (select date_trunc('hour', ts) as h, props ->> '$.k' as k, count(*) as n from events group by 1, 2)
+  select h, k, n, round(avg(n) over (partition by k order by h rows between 3 preceding and current row), 6) as a from h""")
+def _hourly_all(_, load):
+    return hourly(load("events"))
+
+
+def hourly(events):
     from pyspark.sql import Window
 
-    h = load("events").filter("user_id < 100").groupBy(date_trunc("hour", "ts").alias("h"), json_text("props", "k").alias("k")).agg(F.count("*").alias("n"))
+    h = events.groupBy(date_trunc("hour", "ts").alias("h"), json_text("props", "k").alias("k")).agg(F.count("*").alias("n"))
     return h.withColumn("a", F.round(F.avg("n").over(Window.partitionBy("k").orderBy("h").rowsBetween(-3, 0)), 6))
 
 
