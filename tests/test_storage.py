@@ -239,3 +239,29 @@ def test_loads_take_the_whole_table(spark, name):
     assert events.filter("event_id >= 500").count() > 0
     got = getattr(lifecycle, f"{name}_loaded")(spark, events).select(*events.columns)
     assert got.exceptAll(events).isEmpty() and events.exceptAll(got).isEmpty()
+
+
+@pytest.mark.parametrize("v1", ["text", ""])
+def test_text_headers_go_by_position(spark, tmp_path, v1):
+    files = {"a": ["k\tv", "1\tx", "k\tv", "2\ty"], "b": ["K\tV", "3\tz"], "c": ["k\tv"], "d": []}
+    for name, lines in files.items():
+        (tmp_path / f"{name}.txt").write_text("".join(f"{line}\n" for line in lines))
+    before = spark.conf.get("spark.sql.sources.useV1SourceList")
+    spark.conf.set("spark.sql.sources.useV1SourceList", v1)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9")
+    try:
+        got = read_text(spark, f"{tmp_path}/*.txt", "k string, v string", header=True).collect()
+        with pytest.raises(ValueError, match="does not match"):
+            read_text(spark, f"{tmp_path}/*.txt", "k string, v string", header="match")
+    finally:
+        spark.conf.set("spark.sql.sources.useV1SourceList", before)
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(map(tuple, got)) == [("1", "x"), ("2", "y"), ("3", "z"), ("k", "v")]
+
+
+def test_text_splits_after_any_number_of_backslashes(spark, tmp_path):
+    pair = "\\" * 2
+    lines = [pair * 100 + "\tx", pair * 100 + "\\\ty\tz", "\t", "a\t\\\t"]
+    (tmp_path / "a.txt").write_text("".join(f"{line}\n" for line in lines))
+    got = read_text(spark, f"{tmp_path}/a.txt", "k string, v string").collect()
+    assert sorted(map(tuple, got)) == sorted([("\\" * 100, "x"), ("\\" * 100 + "\ty", "z"), ("", ""), ("a", "\t")])

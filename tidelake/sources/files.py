@@ -39,27 +39,24 @@ def unescape(c: Column) -> Column:
     return F.when(c.contains("\\"), F.array_join(F.transform(pieces, one), "")).otherwise(c)
 
 
-def _names(header, first: list[str] | None, schema: T.StructType) -> list[str]:
-    own = [f.name for f in schema.fields]
-    if header == "match" and first is not None and first != own:
-        raise ValueError(f"the header {first} does not match the columns {own}")
-    return own
-
-
 def read_text(spark: SparkSession, pattern: str, schema: str, delimiter: str = "\t", null: str = "\\N", header: bool | str = False) -> DataFrame:
     """Delimited text with backslash escapes; header: True skips it, "match" also checks it."""
     kinds = T._parse_datatype_string(schema)
     paths = find(spark, pattern)
     lines = spark.read.text(paths)
-    first = None
+    names = [f.name for f in kinds.fields]
     if header:
-        # the first line of each file; all are the same
-        heads = spark.read.text(paths[0]).limit(1).first()
-        first = heads[0].split(delimiter) if heads else None
-        lines = lines.filter(F.col("value") != F.lit(delimiter.join(first or [])))
-    names = _names(header, first, kinds)
-    apart = r"(?<=(?<!\\)(?:\\\\){0,40})" + re.escape(delimiter)
-    parts = F.split("value", apart, -1)
+        # the first line of each file is the first row of the part that begins at byte 0
+        lines = lines.select("value", F.input_file_name().alias("_file"), F.input_file_block_start().alias("_from"), F.monotonically_increasing_id().alias("_row"))
+        heads = lines.filter("_from = 0").groupBy("_file").agg(F.min_by("value", "_row").alias("head"), F.min("_row").alias("_row"))
+        if header == "match":
+            for r in heads.select("head").distinct().collect():
+                if r["head"].split(delimiter) != names:
+                    raise ValueError(f"the header {r['head'].split(delimiter)} does not match the columns {names}")
+        lines = lines.join(F.broadcast(heads.select("_row")), "_row", "left_anti").select("value")
+    # no line holds a line end, so it can stand for the delimiters after an even number of backslashes
+    apart = r"(?<!\\)((?:\\\\)*+)" + re.escape(delimiter)
+    parts = F.split(F.regexp_replace("value", apart, "$1\n"), "\n", -1)
     cols = []
     for i, n in enumerate(names):
         raw = F.get(F.col("_p"), F.lit(i))
