@@ -360,3 +360,18 @@ def test_near_dedup_threshold(spark, tmp_path):
     assert kept == {2 * k for k in range(20)} | apart
     kept = {r["doc_id"] for r in near_dedup.near_dedup(df).collect()}
     assert kept == {2 * k for k in range(20)} | apart | {2 * k + 1 for k in range(20) if k % 4 == 1}
+
+
+def test_blocks_differ_in_a_second_hash(monkeypatch):
+    import pyarrow as pa
+
+    table = substring_dedup._BYTE.copy()
+    table[ord("b")] = table[ord("a")]  # the first hash takes a and b for the same
+    monkeypatch.setattr(substring_dedup, "_BYTE", table)
+    texts = [(prose(60, 40)[:205] + x + prose(9, 41)[:9]).encode() for x in ("a", "b")]
+    key = int(substring_dedup._Hashes(np.frombuffer(texts[0], np.uint8)).of(np.array([100]), substring_dedup.ANCHOR).view(np.int64)[0])
+    batch = pa.RecordBatch.from_pydict({"key": [key] * 2, "th": [1, 2], "off": [0, 0], "bytes": texts})
+    rows = [r for b in substring_dedup._blocks(16)(iter([batch])) for r in b.to_pylist()]
+    one, two = ([r for r in rows if r["th"] == th and len(r["bytes"]) > 205] for th in (1, 2))
+    pairs = [(x, y) for x, y in zip(one, two, strict=True) if x["bytes"] != y["bytes"]]
+    assert pairs and all(x["f0"] == y["f0"] and x["f1"] != y["f1"] for x, y in pairs)

@@ -36,14 +36,21 @@ PIECE_BYTES, MOST_TEXTS, BATCH_BYTES = 4 << 20, 1000, 2 << 20
 BLOCK = 16
 
 
+#: Base and byte table of a second hash, so that two of them tell texts apart by 128 bits.
+_BASE_2 = U(0xC2B2AE3D27D4EB4F | 5)
+_BASE_2_INV = U(pow(int(_BASE_2), -1, 1 << 64))
+_BYTE_2 = np.random.Generator(np.random.PCG64(20240608)).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
+
+
 class _Hashes:
     """Hashes of all substrings of a byte array."""
 
-    def __init__(self, raw: np.ndarray):
+    def __init__(self, raw: np.ndarray, second: bool = False):
         n = len(raw)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[raw] * _power("up", _BASE, n), out=self.sums[1:])
-        self.down = _power("down", _BASE_INV, n + 1)
+        byte, up, down = (_BYTE_2, ("up2", _BASE_2), ("down2", _BASE_2_INV)) if second else (_BYTE, ("up", _BASE), ("down", _BASE_INV))
+        np.cumsum(byte[raw] * _power(*up, n), out=self.sums[1:])
+        self.down = _power(*down, n + 1)
 
     def of(self, begin: np.ndarray, length, salt: int = 0) -> np.ndarray:
         h = (self.sums[begin + length] - self.sums[begin]) * self.down[begin]
@@ -175,7 +182,7 @@ def _blocks(size: int):
             out: dict[str, list] = {k: [] for k in ("key", "th", "off", "c0", "c1", "f0", "f1", "bytes")}
             for key, th, base, data in zip(*(batch.column(k).to_pylist() for k in ("key", "th", "off", "bytes")), strict=True):
                 raw = np.frombuffer(data, np.uint8)
-                hashes = _Hashes(raw)
+                hashes, others = _Hashes(raw), _Hashes(raw, second=True)
                 grams = hashes.of(np.arange(len(raw) - ANCHOR + 1), ANCHOR)
                 at = int(np.flatnonzero(grams.view(np.int64) == key)[0])
                 # blocks by the distance from window to anchor, so that equal windows are in equal blocks
@@ -184,8 +191,8 @@ def _blocks(size: int):
                 many = np.diff(np.append(first, len(block)))
                 # the middle: from the nearest possible window's start to the farthest one's end
                 begin, middle = at - block[first] * size, LEAST - size + 1
-                c0, c1 = hashes.of(begin, middle, 3).view(np.int64), hashes.of(begin, middle, 5).view(np.int64)
-                f0, f1 = hashes.of(first, many + LEAST - 1, 7).view(np.int64), hashes.of(first, many + LEAST - 1, 9).view(np.int64)
+                c0, c1 = hashes.of(begin, middle, 3).view(np.int64), others.of(begin, middle, 5).view(np.int64)
+                f0, f1 = hashes.of(first, many + LEAST - 1, 7).view(np.int64), others.of(first, many + LEAST - 1, 9).view(np.int64)
                 for i, (o, m) in enumerate(zip(first.tolist(), many.tolist(), strict=True)):
                     for k, v in zip(out, (key, th, base + o, int(c0[i]), int(c1[i]), int(f0[i]), int(f1[i]), data[o : o + m + LEAST - 1]), strict=True):
                         out[k].append(v)
