@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import lower_ascii, materialize, table
+from tidelake.llm.common import lower_ascii, materialize, quoted, scratch, table, without_rows
 
 WINDOW, SHINGLE, LEAST_ITEMS = 8, 3, 2
 #: Most benchmark shingles that are broadcast (some 100 MB); more are joined by a shuffle.
@@ -131,11 +131,11 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least_items: int = LEAST_ITEMS, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without those that hold windows of ``least_items`` benchmark items or more."""
-    bad = contamination(docs, benchmark, text=text, id_col=id_col).filter(F.col("n_items") >= least_items)
-    bad = bad.select(F.col("doc_id").alias("_bad_id"), F.col("h").alias("_bad_h"))
-    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_bad_id")) & (F.xxhash64(text) == F.col("_bad_h"))
-    return docs.join(bad, same, "left_anti")
+    """``docs`` without those that hold windows of ``least_items`` benchmark items or more; all columns as given, whatever their names."""
+    rows = docs.select(quoted(id_col).alias("doc_id"), quoted(text).cast("string").alias("text"))
+    with scratch() as keep:
+        bad = keep(contamination(rows, benchmark).filter(F.col("n_items") >= least_items).select("doc_id", "h"), "contaminated")
+    return without_rows(docs, bad, None, text, id_col)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import attach_groups, lower_ascii, materialize, n_parts, table
+from tidelake.llm.common import attach_groups, lower_ascii, materialize, n_parts, quoted, row_key, scratch, table, without_rows
 
-#: Bits a row, positions a hash, and the most bits one bitmap may have (16 MB).
-#: More rows than MAX_BITS / BITS_PER_ROW are handled in rounds over slices of the hash space.
+#: Bits a row, positions a hash, and the most bits the bitmap may have (16 MB: what is broadcast).
+#: With far more rows than MAX_BITS / BITS_PER_ROW the bitmap fills up and more hashes are
+#: possibly repeated, at worst all: then all fingerprints are shuffled, still never a text.
 BITS_PER_ROW, POSITIONS, MAX_BITS = 16, 3, 1 << 27
 BLOCK_BITS = 1 << 15
 
@@ -97,32 +98,29 @@ def _test(bits: int, level):
 def possibly_repeated(rows: DataFrame, total: int) -> DataFrame:
     """Adds boolean ``_maybe`` to rows with a long ``_h``: false only where no other row has that hash."""
     spark = rows.sparkSession
-    rounds = -(-total * BITS_PER_ROW // MAX_BITS) or 1
     bits = max(1 << 10, min(MAX_BITS, 1 << int(np.ceil(np.log2(max(1, total) * BITS_PER_ROW)))))
-    out = []
-    for r in range(rounds):
-        part = rows.filter(F.pmod(F.hash("_h"), F.lit(rounds)) == r) if rounds > 1 else rows
-        blocks = part.select("_h").mapInArrow(_mark(bits), "block long, ones binary, twos binary")
-        merged = blocks.repartition(n_parts(spark), "block").mapInArrow(_merge, "block long, twos binary")
-        level = np.zeros(bits // 8, np.uint8)
-        size = min(BLOCK_BITS, bits) // 8
-        for row in merged.collect():  # bits / 8 bytes in all, whatever the rows
-            level[row["block"] * size : (row["block"] + 1) * size] = np.frombuffer(row["twos"], np.uint8)
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in part.schema.fields)
-        out.append(part.mapInArrow(_test(bits, spark.sparkContext.broadcast(level.tobytes())), f"{schema}, _maybe boolean"))
-    found = out[0]
-    for more in out[1:]:
-        found = found.unionByName(more)
-    return found
+    blocks = rows.select("_h").mapInArrow(_mark(bits), "block long, ones binary, twos binary")
+    merged = blocks.repartition(n_parts(spark), "block").mapInArrow(_merge, "block long, twos binary")
+    level = np.zeros(bits // 8, np.uint8)
+    size = min(BLOCK_BITS, bits) // 8
+    for row in merged.collect():  # bits / 8 bytes in all, whatever the rows
+        level[row["block"] * size : (row["block"] + 1) * size] = np.frombuffer(row["twos"], np.uint8)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(_test(bits, spark.sparkContext.broadcast(level.tobytes())), f"{schema}, _maybe boolean")
+
+
+def _tested(docs: DataFrame, text: str, id_col: str) -> tuple[DataFrame, int]:
+    """doc_id, h, _sha and _maybe of every row, and how many there are."""
+    sha = F.sha2(lower_ascii(F.coalesce(quoted(text).cast("string"), F.lit(""))), 256)
+    rows = docs.select(*row_key(docs, text, id_col), F.unhex(sha).alias("_sha"))
+    rows = materialize(rows.withColumn("_h", F.xxhash64("_sha")), "fingerprints")
+    total = rows.count()
+    return materialize(possibly_repeated(rows, total), "tested"), total
 
 
 def equal_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row for each different (id, normalised text): its group's keep_id and size, and ``n_same`` such rows."""
-    sha = F.sha2(lower_ascii(F.coalesce(F.col(text).cast("string"), F.lit(""))), 256)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(sha).alias("_sha"))
-    rows = materialize(rows.withColumn("_h", F.xxhash64("_sha")), "fingerprints")
-    total = rows.count()
-    tested = materialize(possibly_repeated(rows, total), "tested")
+    tested, total = _tested(docs, text, id_col)
     alone = tested.filter(~F.col("_maybe")).select("doc_id", "_sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(1).cast("long").alias("n_same"))
     maybe = tested.filter("_maybe").groupBy("doc_id", "_sha").agg(F.count(F.lit(1)).alias("n_same"))
     maybe = materialize(maybe, "maybe")
@@ -139,23 +137,19 @@ def report(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataF
 
 
 def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without repeated texts; all columns as given.
+    """``docs`` without repeated texts; all columns as given, whatever their names.
 
-    Rows not in a group stay where they are: the list of dropped (id, hash) pairs
-    is what is joined, not the texts of all rows.
+    Only possibly repeated hashes are grouped, and texts stay where they are but for those
+    that go and the few that share a slot with them (``without_rows``).  Of rows that also
+    share the id that stays, the one whose text has the highest hash stays.
     """
-    rows = materialize(equal_groups(docs, text, id_col), "groups")
-    drop = rows.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("_d_id"), F.col("_sha").alias("_d_sha"))
-    twice = rows.filter((F.col("n_same") > 1) & F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("_d_id"), F.col("_sha").alias("_d_sha"))
-    sha = F.unhex(F.sha2(lower_ascii(F.coalesce(F.col(text).cast("string"), F.lit(""))), 256))
-    same = F.col("_own_id").eqNullSafe(F.col("_d_id")) & (F.col("_own_sha") == F.col("_d_sha"))
-    marked = docs.withColumn("_own_id", F.col(id_col).cast("long")).withColumn("_own_sha", sha)
-    left = marked.join(drop, same, "left_anti")
-    if twice.isEmpty():
-        return left.select(*[F.col(f"`{c}`") for c in docs.columns])
-    once = left.join(twice, same, "left_anti")
-    one = left.join(twice, same, "left_semi").dropDuplicates(["_own_id", "_own_sha"])
-    return once.unionByName(one).select(*[F.col(f"`{c}`") for c in docs.columns])
+    with scratch() as keep:
+        tested, total = _tested(docs, text, id_col)
+        maybe = materialize(tested.filter("_maybe").groupBy("_sha", "doc_id", "h").agg(F.count(F.lit(1)).alias("n")), "maybe")
+        groups = maybe.groupBy("_sha").agg(F.max(F.struct("doc_id", "h")).alias("stays"), F.sum("n").alias("size")).filter("size > 1")
+        rows = attach_groups(maybe, groups, "_sha", "size", total).withColumn("stays", F.struct("doc_id", "h").eqNullSafe(F.col("stays")))
+        rows = keep(rows.filter("not stays or n > 1").select("doc_id", "h", "stays"), "repeated")
+    return without_rows(docs, rows.filter("not stays"), rows.filter("stays"), text, id_col)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,15 +3,17 @@
 Each direction is a GRU that reads the bytes of a segment; at every position both
 states together give a distribution over the languages, and a document's distribution
 is the mean over all its positions.  Training is plain numpy: backpropagation through
-time and Adam, on segments of a bounded, class-balanced sample of labelled rows
-(``SAMPLE_ROWS`` a language, taken in the order of a hash of doc_id).
+time and Adam, on segments from anywhere in the whole texts of a bounded, class-balanced
+sample of labelled rows (``SAMPLE_ROWS`` a language, those with the lowest hashes).
 
 Prediction reads whole texts, cut into segments of ``SEGMENT`` bytes whose states
 start at zero; no label, source or id is an input.
 
 Defined cases: a null text or one without any letter is ``und`` with score 0; where
 nothing is labelled, everything is ``und``; a null doc_id is never learned from and not
-held out; repeated rows each get their own row; an empty table gives no rows.
+held out; repeated rows each get their own row (and are learned from once); an empty
+table gives no rows; ``lang_pred`` and ``score`` replace columns of these names, others
+are carried along whatever their names; very long texts are read whole, 4 MB at a time.
 """
 
 from __future__ import annotations
@@ -20,13 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import table
+from tidelake.llm.common import lean, quoted, table
 from tidelake.llm.shingles import slices, text_bytes
 
-SAMPLE_ROWS, SAMPLE_CHARS = 500, 600
+SAMPLE_ROWS = 500
 HIDDEN, SEGMENT, LANES = 8, 128, 2048
 TRAIN_LENGTH, TRAIN_LANES, TRAIN_STEPS, RATE = 48, 192, 320, 0.02
 FOLDS, HELD_OUT = 3, 1
@@ -192,25 +194,39 @@ class ByteTagger:
 
 
 def fold(id_col: str):
-    return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(FOLDS))
+    return F.pmod(F.crc32(quoted(id_col).cast("string")), F.lit(FOLDS))
+
+
+def _sample(docs: DataFrame, rows: int, text: str, id_col: str, lang: str) -> list[tuple[str, str]]:
+    """(lang, text) of the ``rows`` labelled rows a language with the lowest hashes, none of them held out.
+
+    The hash below which enough rows lie follows from the number of rows of the language, so
+    rows are taken where they are: no language, however frequent, meets in one task.
+    """
+    known = docs.select(quoted(lang).cast("string").alias("lang"), quoted(text).cast("string").alias("text"), fold(id_col).alias("fold"), quoted(id_col).alias("id"))
+    known = known.filter((F.col("fold") != HELD_OUT) & F.col("lang").isNotNull() & (F.length("text") > 0))
+    known = known.select("lang", "text", F.shiftrightunsigned(F.xxhash64("id", "text"), 1).alias("h"))
+    many = known.groupBy("lang").agg(F.approx_count_distinct("h", 0.05).alias("n"))  # a row a language
+    # above the number wanted by the count's error and by chance, by four deviations each
+    most = F.lit(2.0**63) * F.least(F.lit(1.0), F.lit(1.2 * rows + 4 * np.sqrt(1.2 * rows)) / F.greatest("n", F.lit(1)))
+    near = known.join(F.broadcast(many.select("lang", most.alias("most"))), "lang").filter(F.col("h") <= F.col("most"))
+    got: dict[str, list] = {}
+    for r in near.select("lang", "h", "text").distinct().collect():  # about 1.4 * rows a language
+        got.setdefault(r["lang"], []).append((r["h"], r["text"]))
+    return [(name, t) for name in sorted(got) for _, t in sorted(got[name])[:rows]]
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, text: str = "text", id_col: str = "doc_id", lang: str = "lang") -> ByteTagger:
     """Learn from ``rows`` labelled rows a language at most, none of them held out."""
-    known = docs.filter((fold(id_col) != HELD_OUT) & F.col(lang).isNotNull() & (F.length(text) > 0))
-    h = F.xxhash64(F.col(id_col))
-    at = F.lit(1) + F.pmod(F.shiftright(h, 8), F.greatest(F.lit(1), F.length(text) - SAMPLE_CHARS)).cast("int")
-    known = known.select(F.col(lang).cast("string").alias("lang"), h.alias("h"), F.substring(F.col(text), at, F.lit(SAMPLE_CHARS)).alias("part"))
-    order = Window.partitionBy("lang").orderBy("h", "part")
-    got = known.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= rows).select("lang", "part").orderBy("lang", "part").collect()
-    languages = sorted({r["lang"] for r in got})
+    got = _sample(docs, rows, text, id_col, lang)
+    languages = sorted({name for name, _ in got})
     model = ByteTagger(languages)
     rng = np.random.Generator(np.random.PCG64(3))
     segments, labels = [], []
     for k, name in enumerate(languages):
-        parts = [np.frombuffer(r["part"].encode(), np.uint8) for r in got if r["lang"] == name]
-        each = -(-4000 // len(parts))
-        for p in parts:
+        texts = [np.frombuffer(t.encode(), np.uint8) for x, t in got if x == name]
+        each = -(-4000 // len(texts))
+        for p in texts:
             p = p if len(p) >= TRAIN_LENGTH else np.tile(p, -(-TRAIN_LENGTH // len(p)))
             for a in rng.integers(0, len(p) - TRAIN_LENGTH + 1, each):
                 segments.append(p[a : a + TRAIN_LENGTH])
@@ -220,29 +236,32 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, text: str = "text", id_col: st
     return model
 
 
+_FOUND = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
+
+
 def predict(docs: DataFrame, model: ByteTagger, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` added."""
+    """``docs`` with ``lang_pred`` and ``score`` added; only the texts go to Python."""
     shared = docs.sparkSession.sparkContext.broadcast(model.state())  # some 60 kB
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).cast("string").alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(tagger: ByteTagger, texts: pa.Array) -> pa.Array:
+        letters = np.array([bool(t) and any(map(str.isalpha, t)) for t in texts.to_pylist()], bool)
+        if not tagger.languages:
+            return pa.StructArray.from_arrays([pa.array(["und"] * len(letters)), pa.array(np.zeros(len(letters)))], fields=list(_FOUND))
+        p = tagger.pooled(*text_bytes(texts))
+        best, score = p.argmax(axis=1), np.clip(p.max(axis=1), 0, 1)
+        names = [tagger.languages[i] if ok else "und" for i, ok in zip(best, letters, strict=True)]
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.where(letters, score, 0.0))], fields=list(_FOUND))
+
+    @lean
+    def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tagger = ByteTagger.of(shared.value)
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                texts = batch.column("text")
-                letters = np.array([bool(t) and any(map(str.isalpha, t)) for t in texts.to_pylist()], bool)
-                if tagger.languages:
-                    p = tagger.pooled(*text_bytes(texts))
-                    best, score = p.argmax(axis=1), np.clip(p.max(axis=1), 0, 1)
-                    names = [tagger.languages[i] if ok else "und" for i, ok in zip(best, letters, strict=True)]
-                    score = np.where(letters, score, 0.0)
-                else:
-                    names, score = ["und"] * len(letters), np.zeros(len(letters))
-                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(names, pa.string()), pa.array(score)], ["row", "lang_pred", "score"])
-
-    schema = f"row {inner.schema['row'].dataType.simpleString()}, lang_pred string, score double"
-    got = inner.mapInArrow(run, schema)
-    return got.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("lang_pred", "score")], "lang_pred", "score")
+        for texts in arrays:
+            parts = [read(tagger, b.column("text")) for b in slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text")]
+            yield pa.concat_arrays(parts) if parts else pa.array([], _FOUND)
+
+    found = F.arrow_udf(run, "lang_pred string, score double")
+    got = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), found(quoted(text).cast("string")).alias("found"))
+    return got.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("lang_pred", "score")], "found.lang_pred", "found.score")
 
 
 #: A document stays if its language is known with this probability at least.
@@ -250,10 +269,10 @@ LEAST_SCORE = 0.4
 
 
 def keep_identified(docs: DataFrame, least: float = LEAST_SCORE, text: str = "text", id_col: str = "doc_id", lang: str = "lang") -> DataFrame:
-    """``docs`` without those whose language cannot be told; all columns as given."""
+    """``docs`` without those whose language cannot be told; all columns as given, whatever their names."""
     model = fit(docs, text=text, id_col=id_col, lang=lang)
-    found = predict(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(text).alias("_text")), model, "_text")
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])
+    found = predict(docs.select(F.struct(*map(quoted, docs.columns)).alias("_doc"), quoted(text).alias("_text")), model, "_text")
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import attach_groups, materialize, n_parts, table
+from tidelake.llm.common import attach_groups, in_slots, lean, materialize, n_parts, quoted, row_key, scratch, table, without_rows
 from tidelake.llm.graph import components
 from tidelake.llm.shingles import U, mix, shingle_sets, slices
 
@@ -111,16 +111,17 @@ def set_keys(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     return tuple(mix(np.add.reduceat(mix(values ^ U(c)), starts)) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
 
 
-_SIGNATURE = "doc_id long, n long, k0 long, k1 long, " + ", ".join(f"s{i} long" for i in range(SKETCH_BITS // 64)) + ", bands array<long>"
+_SIGNATURE = "doc_id long, h long, n long, k0 long, k1 long, " + ", ".join(f"s{i} long" for i in range(SKETCH_BITS // 64)) + ", bands array<long>"
 
 
+@lean
 def _signatures(batches: Iterator[pa.RecordBatch], n_bands: int) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text", SLICE):
             sets = list(shingle_sets(batch.column("text"), WORDS))
             n = np.array([len(x) for x in sets], np.int64)
             some = np.flatnonzero(n)
-            cols = {"doc_id": batch.column("doc_id"), "n": n}
+            cols = {"doc_id": batch.column("doc_id"), "h": batch.column("h"), "n": n}
             k = np.zeros((2, len(n)), np.uint64)
             sk, bd = np.zeros((len(n), SKETCH_BITS // 64), np.uint64), np.zeros((len(n), n_bands), np.uint64)
             if len(some):
@@ -135,6 +136,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], n_bands: int) -> Iterator[pa.
             yield pa.RecordBatch.from_pydict({c: v if isinstance(v, pa.Array) else pa.array(v) for c, v in cols.items()})
 
 
+@lean
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text", SLICE):
@@ -168,6 +170,7 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), *batch.columns], ["tile", *batch.schema.names])
 
 
+@lean
 def _compare(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by tile pair and side: links between members of different components."""
     most = sketch_most(threshold)
@@ -224,8 +227,10 @@ class _Search:
     def sets_of(self, vids: DataFrame) -> DataFrame:
         """vid, set: the full shingle set of each of some classes, made from their texts again."""
         need = materialize(self.classes.select("vid", "first_id", "k0", "k1").join(vids, "vid"), "need")
-        ids = need.select(F.col("first_id").alias("_id")).distinct()
-        texts = self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+        ids = need.select(F.col("first_id").alias("doc_id")).distinct()
+        some, _ = in_slots(self.docs, ids, ["doc_id"])  # other texts stay where they are
+        x, y = some.alias("x"), ids.hint("shuffle_merge").alias("y")
+        texts = x.join(y, F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")), "left_semi")
         sets = texts.mapInArrow(_sets, "k0 long, k1 long, set array<long>").join(need.select("vid", "k0", "k1"), ["k0", "k1"])
         return materialize(sets.select("vid", "set").dropDuplicates(["vid"]), "sets")
 
@@ -282,9 +287,9 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return found.withColumn("comp", F.coalesce("comp", "vid"))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: int = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept; linked from ``threshold`` percent on."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+def _grouped(docs: DataFrame, text: str, id_col: str, threshold: int) -> DataFrame:
+    """One row per document: doc_id, h (of its text), n_shingles, comp (null: linked with nothing), component_id."""
+    docs = docs.select(*row_key(docs, text, id_col), quoted(text).cast("string").alias("text"))
     sig = materialize(docs.mapInArrow(partial(_signatures, n_bands=n_bands(threshold)), _SIGNATURE), "signatures")
     some = sig.filter("n > 0")
     other = ["n", *[f"s{i}" for i in range(SKETCH_BITS // 64)], "bands"]
@@ -311,25 +316,36 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     lowest = named.groupBy("comp").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("_m"))
     named = materialize(named, "named")
     named = attach_groups(named, lowest, "comp", "_m", named.count())
-    groups = materialize(named.select(F.struct("k0", "k1").alias("_key"), "size", "component_id"), "class_components")
-    small = materialize(sig.select("doc_id", F.col("n").alias("n_shingles"), F.struct("k0", "k1").alias("_key")), "documents")
-    found = attach_groups(small.filter("n_shingles > 0"), groups, "_key", "size", small.count()).select("doc_id", "n_shingles", "component_id")
-    none = small.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return found.unionByName(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    groups = materialize(named.select(F.struct("k0", "k1").alias("_key"), "size", "comp", "component_id"), "class_components")
+    small = materialize(sig.select("doc_id", "h", F.col("n").alias("n_shingles"), F.struct("k0", "k1").alias("_key")), "documents")
+    found = attach_groups(small.filter("n_shingles > 0"), groups, "_key", "size", small.count()).select("doc_id", "h", "n_shingles", "comp", "component_id")
+    none = small.filter("n_shingles = 0").select("doc_id", "h", "n_shingles", F.lit(None).cast("long").alias("comp"), F.col("doc_id").alias("component_id"))
+    return found.unionByName(none)
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: int = THRESHOLD) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept; linked from ``threshold`` percent on."""
+    found = _grouped(docs, text, id_col, threshold).select("doc_id", "n_shingles", "component_id")
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: int = THRESHOLD) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group; all columns as given.
+    """``docs`` with one document of each near-duplicate group; all columns as given, whatever their names.
 
-    Repeated rows of the id that stays count as one document: one of them is returned.
+    The row with the smallest id of the group stays (null comes last; of several with that
+    id, the one whose text has the lowest hash).  Repeated rows of one id and text count as
+    one document: one of them is returned.
     """
-    found = materialize(near_duplicates(docs, text, id_col, threshold), "near")
-    stay = found.filter("kept").groupBy(F.col("doc_id").alias("_stay")).agg(F.count(F.lit(1)).alias("_m"))
-    kept = docs.join(stay, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_stay")))
-    one = kept.filter(F.col("_m") == 1)
-    if not stay.filter("_m > 1").isEmpty():
-        one = one.unionByName(kept.filter(F.col("_m") > 1).dropDuplicates(["_stay", text]))
-    return one.select(*[F.col(f"`{c}`") for c in docs.columns])
+    with scratch() as keep:
+        rows = _grouped(docs, text, id_col, threshold).groupBy("comp", "doc_id", "h").agg(F.count(F.lit(1)).alias("n"))
+        rows = materialize(rows, "near")
+        order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+        first = rows.filter("comp is not null").groupBy("comp").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("size"))
+        linked = attach_groups(rows.filter("comp is not null"), first, "comp", "size", rows.count())
+        linked = linked.select("doc_id", "h", "n", order.eqNullSafe(F.col("first")).alias("stays"))
+        every = linked.unionByName(rows.filter("comp is null").select("doc_id", "h", "n", F.lit(True).alias("stays")))
+        every = keep(every.filter("not stays or n > 1").select("doc_id", "h", "stays"), "near_repeated")
+    return without_rows(docs, every.filter("not stays"), every.filter("stays"), text, id_col)
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
