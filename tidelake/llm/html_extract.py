@@ -10,33 +10,37 @@ reader comments and so on) are left out.
 Scripts, styles, comments and markup never are text.  Character references are decoded,
 white space in a block becomes one space, blocks are joined by one space.
 
+Time is linear in the page, however deep its elements nest and whatever quotes are open:
+an element knows the least share of those around it, and where a tag ends is looked up.
+
 Defined cases: a null or empty page, or one without words, has the empty text; tags may
-be unclosed or cut off; repeated rows each get their own row; an empty table gives no rows.
+be unclosed or cut off; a body closes an open head; very long pages are read whole;
+repeated rows each get their own row; an empty table gives no rows; a column ``text`` is
+replaced, others are carried along whatever their names.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
-from collections import defaultdict
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import table
+from tidelake.llm.common import lean, quoted, table
 from tidelake.llm.html_labels import labelled_pages
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|template|svg|math|iframe|object|textarea|title)\b[^>]*+>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^<>]*+)(?:>|\Z)"
-    r"|<[!?][^>]*+(?:>|\Z)",
-    re.S | re.I,
-)
+#: Comments; elements whose content is never text; declarations.  Then tags with whole
+#: quoted values, and tags whose quotes are not closed, which end at the next angle bracket.
+_OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|svg|math|iframe|object|textarea|title)\b[^>]*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*+(?:>|\Z)", re.S | re.I)
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
+_QUOTED = re.compile(r"(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>")
+_LOOSE = re.compile(r"[^<>]*+(?:>|\Z)")
 _LABEL = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 #: Tags that stand in a line of text and do not end a block; br is a space in it.
@@ -57,53 +61,108 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
     return labels if labels and tag in _GENERIC else (tag, *labels)
 
 
+class Node:
+    """An open container: its names, whether an article's own container is around it, and what weights say of it."""
+
+    __slots__ = ("parent", "names", "held", "holds", "share", "strong")
+
+    def __init__(self, parent: Node | None, tag: str, names: tuple[str, ...]):
+        self.parent, self.names = parent, names
+        self.held = parent is not None and parent.holds
+        self.holds = self.held or tag in _HOLDS
+        self.share, self.strong = 0.6, False
+
+
+def _tag_ends(source: str) -> Callable[[int], int]:
+    """Where a tag whose attributes begin at a position has its closing bracket outside of quotes; -1: nowhere."""
+    marks = [(m.start(), m[0]) for m in re.finditer("[>\"']", source)]
+    places = [at for at, _ in marks]
+    ends, later = [-1] * (len(marks) + 1), {"\"": -1, "'": -1}
+    for k in range(len(marks) - 1, -1, -1):
+        at, mark = marks[k]
+        if mark == ">":
+            ends[k] = at
+        else:
+            close = later[mark]
+            ends[k] = ends[close + 1] if close >= 0 else -1
+            later[mark] = k
+    return lambda begin: ends[bisect_left(places, begin)]
+
+
 class Page:
-    """Tokens of a page: (tag names or None, container kinds, text, is_block)."""
+    """Tokens of a page: (tag names or None, innermost container, text, is_block), and its containers as they open."""
 
     def __init__(self, source: str):
         self.tokens: list[tuple] = []
-        stack: list[tuple[str, tuple[str, ...]]] = []
-        kinds: tuple = ()
-        at = 0
-
-        def text(part: str) -> None:
-            if part:
-                self.tokens.append((None, kinds, _html.unescape(part), False))
-
-        def inside() -> tuple:
-            held = False
-            out = []
-            for tag, names in stack:
-                out.append((names, held))
-                held = held or tag in _HOLDS
-            return tuple(out)
-
-        for m in _TOKEN.finditer(source):
-            text(source[at : m.start()])
-            at = m.end()
-            tag = m[3] or m[6]
-            if not tag:
-                if m[1]:
-                    self.tokens.append(((m[1].lower(),), kinds, "", True))
+        self.nodes: list[Node] = []
+        stack: list[tuple[str, Node]] = []
+        count: Counter = Counter()
+        node: Node | None = None
+        at = begin = 0
+        last = source.rfind(">")
+        ends = None
+
+        while (begin := source.find("<", begin)) >= 0:
+            m = _TAG.match(source, begin)
+            # no search runs to the end of the page for a bracket that is not there
+            other = _OTHER.match(source, begin) if begin < last or not m else None
+            if other:
+                stop, tag = other.end(), ""
+            elif m:
+                stop, tag = -1, m[2].lower()
+                if ends is not None:
+                    stop = ends(m.end()) + 1 or -1
+                elif begin < last and (whole := _QUOTED.match(source, m.end())):
+                    stop = whole.end()
+                elif begin < last:
+                    ends = _tag_ends(source)  # from the first tag that is not closed outside of quotes
+                if stop < 0:
+                    loose = _LOOSE.match(source, m.end())
+                    stop = loose.end() if loose else -1
+            else:
+                stop = -1
+            if stop < 0:
+                begin += 1
+                continue
+            if at < begin:
+                self.tokens.append((None, node, _html.unescape(source[at:begin]), False))
+            at = stop
+            if other:
+                begin = stop
+                if other[1]:
+                    self.tokens.append(((other[1].lower(),), node, "", True))
                 continue
-            tag, closing = tag.lower(), bool(m[2] or m[5])
             if tag == "br":
-                self.tokens.append((None, kinds, " ", False))
+                begin = stop
+                self.tokens.append((None, node, " ", False))
                 continue
-            names = _names(tag, "" if closing else m[4] or m[7] or "")
+            closing = bool(m[1])
+            names = _names(tag, "" if closing else source[m.end() : stop].removesuffix(">"))
+            begin = stop
             if tag in _CONTAINERS:
                 if closing:
-                    if any(t == tag for t, _ in stack):
-                        while (gone := stack.pop())[0] != tag:
-                            pass
-                        names = gone[1]
+                    if count[tag]:
+                        names = self._close(stack, count, tag)
                 else:
                     if tag == "body":
-                        stack = [x for x in stack if x[0] != "head"]
-                    stack.append((tag, names))
-                kinds = inside()
-            self.tokens.append((names, kinds, "", tag not in _INLINE))
-        text(source[at:])
+                        while count["head"]:
+                            self._close(stack, count, "head")
+                    stack.append((tag, Node(stack[-1][1] if stack else None, tag, names)))
+                    self.nodes.append(stack[-1][1])
+                    count[tag] += 1
+                node = stack[-1][1] if stack else None
+            self.tokens.append((names, node, "", tag not in _INLINE))
+        if at < len(source):
+            self.tokens.append((None, node, _html.unescape(source[at:]), False))
+
+    @staticmethod
+    def _close(stack: list, count: Counter, tag: str) -> tuple[str, ...]:
+        """Close the containers up to the next one of that tag; its names."""
+        while True:
+            name, node = stack.pop()
+            count[name] -= 1
+            if name == tag:
+                return node.names
 
 
 class Weights:
@@ -126,23 +185,29 @@ class Weights:
             return 0.6
         return min(known) if min(known) < 0.3 else max(known)
 
-    def belongs(self, kinds: tuple) -> float:
-        return min((self._share(k) for k in kinds), default=0.6)
+    def weigh(self, page: Page) -> None:
+        """Give every container the least share of those around it, and whether one is an article's own."""
+        for node in page.nodes:
+            share, up = self._share((node.names, node.held)), node.parent
+            node.share = share if up is None else min(share, up.share)
+            node.strong = share >= 0.9 or (up is not None and up.strong)
 
-    def word(self, kinds: tuple) -> float:
-        return 0.02 + self.belongs(kinds)
+    @staticmethod
+    def belongs(node: Node | None) -> float:
+        return 0.6 if node is None else node.share
 
-    def tag(self, names: tuple, kinds: tuple) -> float:
+    def tag(self, names: tuple, node: Node | None) -> float:
         """Negative; an insert inside an article's own container does not part it."""
         known = [self.tag_share[n] for n in names if n in self.tag_share]
-        held = any(self._share(k) >= 0.9 for k in kinds)
+        held = node is not None and node.strong
         return -0.1 - self.scale * (0.02 if held else 1) * (1 - (min(known) if known else 0.9))
 
     def run(self, page: Page) -> tuple[int, int]:
         """First and end token of the maximum-scoring run."""
+        self.weigh(page)
         best, best_run, total, start = 0.0, (0, 0), 0.0, 0
-        for i, (names, kinds, text, _) in enumerate(page.tokens):
-            total += self.tag(names, kinds) if names else self.word(kinds) * len(text.split())
+        for i, (names, node, text, _) in enumerate(page.tokens):
+            total += self.tag(names, node) if names else (0.02 + self.belongs(node)) * len(text.split())
             if total <= 0:
                 total, start = 0.0, i + 1
             elif total > best:
@@ -155,11 +220,11 @@ class Weights:
         page = Page(source)
         a, b = self.run(page)
         blocks: list[list[str]] = [[]]
-        for names, kinds, text, block in page.tokens[a:b]:
+        for names, node, text, block in page.tokens[a:b]:
             if names:
                 if block:
                     blocks.append([])
-            elif self.belongs(kinds) >= 0.5:
+            elif self.belongs(node) >= 0.5:
                 blocks[-1].append(text)
         return " ".join(" ".join(t) for x in blocks if (t := "".join(x).split()))
 
@@ -177,16 +242,15 @@ def learn(pages: list[list[tuple[str, bool]]] | None = None) -> Weights:
         tokens = Page(whole).tokens
         # which piece a token is from: pieces hold whole tokens
         own = [(t, content) for piece, content in page for t in Page(piece).tokens]
-        for (names, kinds, text, _), (_, content) in zip(tokens, own, strict=True):
+        for (names, node, text, _), (_, content) in zip(tokens, own, strict=True):
             if names:
                 for n in names:
                     tags[n][0] += content
                     tags[n][1] += 1
-            elif kinds:
-                last, held = kinds[-1]
-                for n in last:
-                    words[(n, held)][0] += content * len(text.split())
-                    words[(n, held)][1] += len(text.split())
+            elif node:
+                for n in node.names:
+                    words[(n, node.held)][0] += content * len(text.split())
+                    words[(n, node.held)][1] += len(text.split())
     share = lambda x: {k: (a + 0.5) / (n + 1) for k, (a, n) in x.items() if n}
     best = None
     for scale in (1, 2, 4, 8, 16, 32):
@@ -203,19 +267,18 @@ def learn(pages: list[list[tuple[str, bool]]] | None = None) -> Weights:
 
 
 def extract_text(pages: DataFrame, weights: Weights | None = None, html: str = "html") -> DataFrame:
-    """``pages`` with the main text in column ``text`` (in place of any column of that name)."""
+    """``pages`` with the main text in column ``text`` (in place of any column of that name); only the pages go to Python."""
     weights = weights or learn()
     shared = pages.sparkSession.sparkContext.broadcast((weights.word_share, weights.tag_share, weights.scale))  # some kB
-    inner = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"), F.col(html).cast("string").alias("html"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @lean
+    def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Weights(*shared.value)
-        for batch in batches:
-            texts = [own.extract(x) for x in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
+        for sources in arrays:
+            yield pa.array([own.extract(x.as_py()) for x in sources], pa.string())
 
-    got = inner.mapInArrow(run, f"row {inner.schema['row'].dataType.simpleString()}, text string")
-    return got.select(*[F.col(f"row.`{c}`").alias(c) for c in pages.columns if c != "text"], "text")
+    rows = pages.select(F.struct(*map(quoted, pages.columns)).alias("row"), F.arrow_udf(run, "string")(quoted(html).cast("string")).alias("found"))
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in pages.columns if c != "text"], F.col("found").alias("text"))
 
 
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
