@@ -12,7 +12,9 @@ so results are exact.
 Words: A-Z lower-cased, runs of digits, a-z and everything beyond ASCII.
 Defined cases: null and empty texts have no words and are never hit; items without
 words are ignored; an item without id hits words but is not counted as an item; a
-repeated row of documents gets the same result as its twin; other columns are ignored.
+repeated row of documents gets the same result as its twin; an empty table gives no rows;
+other columns are ignored by the report and carried along by ``decontaminate``, whatever
+their names; texts of any length are cut into words whole.
 """
 
 from __future__ import annotations

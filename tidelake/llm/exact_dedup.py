@@ -9,7 +9,7 @@ A false positive costs the shuffle of a 40-byte row and never changes a result.
 Texts are equal when identical after lower-casing A-Z; null counts as empty.
 Defined cases: of equal texts the row with the largest doc_id stays (null is less
 than any id); of repeated rows with that id one stays; an empty table gives no rows;
-other columns, whatever their names, are carried along.
+other columns, whatever their names, are carried along; texts of any length are hashed whole.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ every repeated passage stays whole in one place.
 Defined cases: null has no lines; a text of fewer than three lines has no windows;
 windows of blank lines only are not counted; a null doc_id comes first; repeated rows
 of one id and text count as one document and get the same result; an empty table
-gives no rows; other columns are carried along by ``line_dedup``.
+gives no rows; other columns are carried along by ``line_dedup``, whatever their names;
+very long texts are read whole, in time linear in their lines.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import materialize, table
+from tidelake.llm.common import in_slots, materialize, quoted, row_key, table
 
 WINDOW = 3
 
@@ -43,8 +44,8 @@ def removed_runs(docs: DataFrame, window: int = WINDOW, text: str = "text", id_c
         return F.transform(at, hashed)
 
     # bound in an array of one, so that the lines are split once and not in every lambda call
-    rows = F.explode_outer(F.get(F.transform(F.array(_lines(F.col(text))), windows), F.lit(0)))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), rows.alias("w")).filter("not w.blank")
+    rows = F.explode_outer(F.get(F.transform(F.array(_lines(quoted(text).cast("string"))), windows), F.lit(0)))
+    rows = docs.select(*row_key(docs, text, id_col), rows.alias("w")).filter("not w.blank")
     rows = materialize(rows.select("doc_id", "h", F.col("w.pos").alias("pos"), F.col("w.a").alias("a"), F.col("w.b").alias("b")).distinct(), "windows")
     again = rows.groupBy("a", "b").agg(F.min(F.struct("doc_id", "h", "pos")).alias("first"), F.count(F.lit(1)).alias("m")).filter("m > 1")
     mine = rows.join(again.hint("shuffle_merge"), ["a", "b"])
@@ -53,29 +54,51 @@ def removed_runs(docs: DataFrame, window: int = WINDOW, text: str = "text", id_c
     lines = covered.groupBy("doc_id", "h", "line").agg(F.max("first").alias("keep")).filter("not keep")
     order = Window.partitionBy("doc_id", "h").orderBy("line")
     runs = lines.withColumn("run", F.col("line") - F.row_number().over(order)).groupBy("doc_id", "h", "run").agg(F.min("line").alias("lo"), F.max("line").alias("hi"))
-    return runs.groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"), F.sum(F.col("hi") - F.col("lo") + 1).cast("long").alias("n_removed"))
+    return runs.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("runs"), F.sum(F.col("hi") - F.col("lo") + 1).cast("long").alias("n_removed"))
+
+
+def _without(text: Column, runs: Column) -> Column:
+    """The text without the lines of its runs (in order): what is between them, put together."""
+    n = F.size(runs)
+
+    def between(lines: Column) -> Column:
+        def part(i: Column) -> Column:
+            begin = F.when(i == 0, F.lit(0)).otherwise(F.get(runs, i - 1)["hi"] + 1)
+            end = F.when(i == n, F.size(lines)).otherwise(F.get(runs, i)["lo"])
+            return F.slice(lines, begin + 1, end - begin)
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), n), part))
+
+    kept = F.get(F.transform(F.array(_lines(text)), between), F.lit(0))
+    return F.when(runs.isNull(), text).otherwise(F.array_join(kept, "\n"))
 
 
 def _with_runs(docs: DataFrame, text: str, id_col: str) -> DataFrame:
-    runs = removed_runs(docs, text=text, id_col=id_col).select(F.col("doc_id").alias("_r_id"), F.col("h").alias("_r_h"), F.col("runs").alias("_runs"), F.col("n_removed").alias("_n_removed"))
-    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_r_id")) & (F.xxhash64(text) == F.col("_r_h"))
-    kept = F.filter(_lines(F.col(text)), lambda _, i: ~F.exists(F.col("_runs"), lambda r: (r["lo"] <= i) & (i <= r["hi"])))
-    out = F.when(F.col("_runs").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    return docs.join(runs, same, "left").withColumn("_kept", out)
+    """row (a struct of all columns), text, kept (what remains of it) and n_removed (null: nothing) of every row.
+
+    Only rows that lose lines, and the few that share a slot with them, are shuffled.
+    """
+    runs = materialize(removed_runs(docs, text=text, id_col=id_col), "runs")
+    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), *row_key(docs, text, id_col), quoted(text).cast("string").alias("text"))
+    some, stay = in_slots(rows, runs, ["doc_id", "h"])
+    x, y = some.alias("x"), runs.hint("shuffle_merge").alias("y")
+    some = x.join(y, F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.h") == F.col("y.h")), "left")
+    some = some.select("x.row", "x.text", _without(F.col("x.text"), F.col("y.runs")).alias("kept"), "y.n_removed")
+    return stay.select("row", "text", F.col("text").alias("kept"), F.lit(None).cast("long").alias("n_removed")).unionByName(some)
 
 
 def line_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with later occurrences of repeated lines taken out of their texts; all columns as given."""
+    """``docs`` with later occurrences of repeated lines taken out of their texts; all columns as given, whatever their names."""
     done = _with_runs(docs, text, id_col)
-    return done.select(*[F.col("_kept").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    return done.select(*[F.col("kept").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_lines, n_removed, kept_sha256 (of the remaining lines)."""
     done = _with_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "doc_id")
     return done.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.size(_lines(F.col("text"))).cast("long").alias("n_lines"),
-        F.coalesce("_n_removed", F.lit(0).cast("long")).alias("n_removed"), F.sha2(F.coalesce("_kept", F.lit("")), 256).alias("kept_sha256"),
+        F.col("row.doc_id").cast("long").alias("doc_id"), F.size(_lines(F.col("text"))).cast("long").alias("n_lines"),
+        F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"),
     )
 
 

@@ -16,7 +16,8 @@ bands at 85; 45 at 80); higher similarities by less.
 
 Defined cases: a text without words is linked with nothing; null is empty; the
 smallest doc_id of a component names it (nulls are passed over); an empty table gives
-no rows; other columns are carried along.
+no rows; other columns are carried along, whatever their names; very long texts are one
+set each, made whole.  Shingles are 64-bit hashes of hashed words; sets are compared on them.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute is used below
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F

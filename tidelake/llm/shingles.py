@@ -5,8 +5,11 @@ Words are runs of anything but ASCII white space, after lower-casing A-Z.
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute is used below
 
 U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240607))
@@ -18,6 +21,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: A sum of powers modulo 2^64 can be the same for two regular strings of some thousand bytes: longer words get a digest.
+LONG_WORD = 256
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -65,7 +70,10 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[_LOWER[data]] * _power("up", _BASE, n), out=sums[1:])
     h = (sums[end] - sums[begin]) * _power("down", _BASE_INV, n)[begin]
-    return mix(h + (end - begin).astype(np.uint64) * _JOIN), np.searchsorted(begin, starts)
+    h = mix(h + (end - begin).astype(np.uint64) * _JOIN)
+    for k in np.flatnonzero(end - begin >= LONG_WORD).tolist():
+        h[k] = int.from_bytes(blake2b(_LOWER[data[begin[k] : end[k]]].tobytes(), digest_size=8).digest(), "little")
+    return h, np.searchsorted(begin, starts)
 
 
 def shingle_sets(column: pa.Array, size: int = 5):
