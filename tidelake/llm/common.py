@@ -24,6 +24,9 @@ _SCRATCH: ContextVar[list | None] = ContextVar("scratch", default=None)
 #: Slots of the filter before rows are taken out: its table has so many rows at most, whatever the data.
 SLOTS = 1 << 20
 
+#: Rows and bytes of the batches that go to Python while a table is written.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
 #: A group is "large" when it holds at least this share of all rows, so there
 #: can be at most 1 / LARGE_SHARE of them: that bounds what is broadcast.
 LARGE_SHARE = 1.0 / 2000
@@ -44,6 +47,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return f"file://{_OWN_LOCAL[0]}"
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile, batches that go to Python have BATCH_ROWS rows and BATCH_BYTES bytes at most."""
+    most = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {k: spark.conf.get(k, None) for k in most}
+    for k, v in most.items():
+        spark.conf.set(k, str(v))
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back.
 
@@ -52,7 +69,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tidelake-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     _OWN_FOLDERS.append((spark, path.rpartition("/")[0]))
     if (own := _SCRATCH.get()) is not None:
         own.append(_OWN_FOLDERS[-1])
@@ -65,7 +83,8 @@ def materialize_buckets(df: DataFrame, name: str, key: str, buckets: int) -> Dat
     own = uuid.uuid4().hex
     path = f"{checkpoint_dir(spark).rstrip('/')}/tidelake-{own}/{name}"
     writer = df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key)
-    writer.saveAsTable(f"tidelake_{name}_{own}")
+    with _small_batches(spark):
+        writer.saveAsTable(f"tidelake_{name}_{own}")
     _OWN_FOLDERS.append((spark, path.rpartition("/")[0]))
     _OWN_TABLES.append((spark, f"tidelake_{name}_{own}"))
     return spark.table(f"tidelake_{name}_{own}")

@@ -17,7 +17,6 @@ codes are shuffled, never one row per occurrence.
 
 from __future__ import annotations
 
-import json
 import re
 import zlib
 from collections import defaultdict
@@ -31,10 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import materialize_buckets, n_parts
+from tidelake.llm.common import lean, materialize_buckets, n_parts
+from tidelake.llm.shingles import slices
 
 #: Text in a chunk; a longer document is a chunk of its own.
 CHUNK_BYTES = 16 << 20
+#: Text of a batch that is taken out of Arrow at once.
+SLICE = 1 << 20
 #: Bucket of the row that holds a chunk's documents: after those of its words.
 DOCS = 1 << 30
 _TABLE = "chunk long, bucket int, n long, a binary, b binary, c binary"
@@ -74,11 +76,11 @@ class WordSplitter:
         self.library = Tokenizer.from_str(vocabulary.decode())
         self.library.no_truncation()
         self.library.no_padding()
-        added = json.loads(vocabulary)["added_tokens"]
-        if any(a["single_word"] or a["lstrip"] or a["rstrip"] or a["normalized"] for a in added):
+        added = sorted(self.library.get_added_tokens_decoder().items())
+        if any(a.single_word or a.lstrip or a.rstrip or a.normalized for _, a in added):
             raise NotImplementedError("added tokens with conditions")
         #: Special strings in texts are tokens of their own: code i stands for the i-th.
-        self.special = [(a["content"], a["id"]) for a in added]
+        self.special = [(a.content, i) for i, a in added]
         self._cut = re.compile("(" + "|".join(re.escape(s) for s, _ in sorted(self.special, key=lambda x: -len(x[0]))) + ")") if added else None
         self._letters = _byte_letters()
         self._odd = re.compile(f"[^\x00-{chr(PLAIN - 1)}]")
@@ -202,11 +204,12 @@ def chunks(docs: DataFrame, vocabulary, counts: bool, text: str = "text", id_col
     """
     buckets = max(64, min(8192, 2 * n_parts(docs.sparkSession)))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = WordSplitter(vocabulary.value)
         number = TaskContext.get().partitionId() << 32
         chunk = _Chunk(len(split.special))
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text", SLICE)):
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 size = len((t or "").encode())
                 if chunk.ids and chunk.held + size > CHUNK_BYTES:
@@ -223,6 +226,7 @@ def chunks(docs: DataFrame, vocabulary, counts: bool, text: str = "text", id_col
 def per_word(table: DataFrame, vocabulary, work: Callable) -> DataFrame:
     """``work(splitter, word) -> bytes`` once per distinct word; rows of results by chunk."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, at, known = WordSplitter(vocabulary.value), None, {}
         for batch in batches:
@@ -251,6 +255,7 @@ def per_word(table: DataFrame, vocabulary, work: Callable) -> DataFrame:
 def per_chunk(table: DataFrame, results: DataFrame, special: list[bytes], work: Callable, schema: str) -> DataFrame:
     """``work(meta, codes, times, results)`` for each chunk; results: bytes by code."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):  # a row holds a whole chunk: one at a time
