@@ -145,20 +145,24 @@ def _dropped(spark, load):
     return store.read("events").filter("user_id = 5")
 
 
-@Q.frame("n03_slice_info", "select 7 as slices, 3 as sealed")
+_SLICES = "select time_bucket(interval 5 days, ts, timestamp '2024-01-03 00:00:00') as range_start, count(*) as n from events where ts >= timestamp '2024-01-03 00:00:00' group by 1"
+
+
+@Q.frame("n03_slice_info", f"select range_start, range_start + interval 5 days as range_end, range_start + interval 5 days <= timestamp '2024-01-21 00:00:00' as sealed from ({_SLICES})")
 def _info(spark, load):
-    got = sealed_events(spark, load("events")).slice_info("events").filter("range_start is null or range_end > timestamp_ntz'2024-01-03 00:00:00'")
-    return got.agg(F.count("*").cast("int").alias("slices"), F.sum(F.col("sealed").cast("int")).cast("int").alias("sealed"))
+    got = sealed_events(spark, load("events")).slice_info("events").filter("range_end > timestamp_ntz'2024-01-03 00:00:00'")
+    return got.select("range_start", "range_end", "sealed")
 
 
-@Q.frame("n09_compression_stats", "select true as smaller, true as known")
+@Q.frame("n09_compression_stats", f"select range_start, n as rows, true as packed from ({_SLICES}) where range_start + interval 5 days <= timestamp '2024-01-21 00:00:00'")
 def _compression(spark, load):
-    got = sealed_events(spark, load("events")).compression_stats("events").filter("sealed")
-    return got.agg(F.bool_and(F.col("bytes") > 0).alias("smaller"), F.bool_and(F.col("rows") > 0).alias("known"))
+    store = sealed_events(spark, load("events"))
+    got = store.compression_stats("events").filter("sealed").join(store.slice_info("events").select("name", "range_start"), "name")
+    return got.select("range_start", "rows", (F.col("bytes") > 0).alias("packed"))
 
 
 def text_loaded(spark: SparkSession, events: DataFrame) -> DataFrame:
-    """All events, written as text and loaded; what a query returns of them is its SQL's matter."""
+    """All events, written as text and loaded."""
     from tidelake.sources import load_text
 
     store = Store(spark, _root(spark))
@@ -195,16 +199,16 @@ def parquet_loaded(spark: SparkSession, events: DataFrame) -> DataFrame:
     return store.read("events")
 
 
-@Q.frame("a07_text_load", "select event_id, ts, user_id, event_type, value, props from events where event_id < 200")
+@Q.frame("a07_text_load", "select event_id, ts, user_id, event_type, value, props from events")
 def _text(spark, load):
-    return text_loaded(spark, load("events")).filter("event_id < 200")
+    return text_loaded(spark, load("events"))
 
 
-@Q.frame("a08_csv_load", "select event_id, event_type, value, props from events where event_id < 200")
+@Q.frame("a08_csv_load", "select event_id, ts, user_id, event_type, value, props from events")
 def _csv(spark, load):
-    return csv_loaded(spark, load("events")).filter("event_id < 200").select("event_id", "event_type", "value", "props")
+    return csv_loaded(spark, load("events"))
 
 
-@Q.frame("a09_parquet_load", "select event_id, ts, user_id, event_type, value, props from events where event_id < 500")
+@Q.frame("a09_parquet_load", "select event_id, ts, user_id, event_type, value, props from events")
 def _parquet(spark, load):
-    return parquet_loaded(spark, load("events")).filter("event_id < 500")
+    return parquet_loaded(spark, load("events"))

@@ -69,15 +69,9 @@ def _series(_, load):
     return e.groupBy(date_trunc("minute", "ts").alias("m")).agg(F.count("*").alias("v")).orderBy("m").offset(100).limit(10)
 
 
-@Q.frame("r00_hourly_stats", """with h as (select date_trunc('hour', ts) as h, props ->> '$.k' as k, count(*) as n from events where user_id < 100 group by 1, 2)
+@Q.frame("r00_hourly_stats", """with h as (select date_trunc('hour', ts) as h, props ->> '$.k' as k, count(*) as n from events group by 1, 2)
   select h, k, n, round(avg(n) over (partition by k order by h rows between 3 preceding and current row), 6) as a from h""")
 def _hourly(_, load):
-    return hourly(load("events").filter("user_id < 100"))
-
-
-@Q.frame("r00_hourly_stats_all", """with h as (select date_trunc('hour', ts) as h, props ->> '$.k' as k, count(*) as n from events group by 1, 2)
-  select h, k, n, round(avg(n) over (partition by k order by h rows between 3 preceding and current row), 6) as a from h""")
-def _hourly_all(_, load):
     return hourly(load("events"))
 
 
