@@ -1,8 +1,8 @@
 """BPE encoding and decoding over a distinct-word table.
 
 Texts are split into words; each distinct word is encoded once, and its ids are joined
-back to every position it stands at.  Ids are decoded through a join with the
-vocabulary's id -> piece table.
+back to every position it stands at.  The different ids of a chunk are joined with the
+vocabulary's id -> piece table, and its words are spelled with the pieces found.
 
 Defined cases: null is the empty text: no ids, empty decoding; special strings inside
 a text are their own ids; repeated rows each get their own row; a null doc_id stays
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelake.llm.common import file_bytes, packaged, table
-from tidelake.llm.distinct_words import WordSplitter, chunks, per_chunk, per_word
+from tidelake.llm.distinct_words import WordSplitter, chunks, named, per_chunk, per_word
 
 VOCABULARY = "word_bpe_49k.json"
 _OUT_BYTES = 4 << 20
@@ -29,15 +29,18 @@ def _encode(split: WordSplitter, word: str) -> bytes:
     return np.array(split.pieces(word), "<u4").tobytes()
 
 
-def id_pieces(vocabulary: bytes) -> dict[int, bytes]:
+def id_pieces(spark: SparkSession, vocabulary: bytes) -> DataFrame:
     """The id -> piece table: as large as the vocabulary, whatever the corpus."""
-    split = WordSplitter(vocabulary)
-    return {i: p.encode() for p, i in split.library.get_vocab(with_added_tokens=True).items()}
+    known = WordSplitter(vocabulary).library.get_vocab(with_added_tokens=True)
+    rows = pa.table({"id": pa.array(known.values(), pa.int32()), "name": pa.array([p.encode() for p in known], pa.binary())})
+    return spark.createDataFrame(rows)
 
 
-def _assemble(pieces):
-    def run(meta: pa.RecordBatch, codes: np.ndarray, _times: np.ndarray, found: list[bytes]) -> Iterator[pa.RecordBatch]:
-        piece = pieces.value
+def _assemble(special: dict[int, bytes]):
+    """special: the strings that are their own pieces; all other pieces come from the join."""
+
+    def run(meta: pa.RecordBatch, codes: np.ndarray, _times: np.ndarray, found: list[bytes], names: dict) -> Iterator[pa.RecordBatch]:
+        piece = special | names
         spelled = [b" ".join([piece[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in found]
         at, doc_ids = 0, meta.column("doc_id").to_pylist()
         out: list[tuple] = []
@@ -63,11 +66,12 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def encode_decode(docs: DataFrame, vocabulary_path: str, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit integers) and decoded text of every row."""
-    data, context = file_bytes(vocabulary_path), docs.sparkSession.sparkContext
-    vocabulary, pieces = context.broadcast(data), context.broadcast(id_pieces(data))
-    rows = chunks(docs, vocabulary, False, text, id_col)
-    special = [np.array([i], "<u4").tobytes() for _, i in WordSplitter(data).special]
-    return per_chunk(rows, per_word(rows, vocabulary, _encode), special, _assemble(pieces), "doc_id long, ids binary, decoded string")
+    data, spark = file_bytes(vocabulary_path), docs.sparkSession
+    vocabulary = spark.sparkContext.broadcast(data)  # a vocabulary file: a few MB
+    rows, added = chunks(docs, vocabulary, False, text, id_col), WordSplitter(data).special
+    found = named(per_word(rows, vocabulary, _encode, ids=True), id_pieces(spark, data))
+    special = [np.array([i], "<u4").tobytes() for _, i in added]
+    return per_chunk(rows, found, special, _assemble({i: s.encode() for s, i in added}), "doc_id long, ids binary, decoded string")
 
 
 def digests(docs: DataFrame, vocabulary_path: str, text: str = "text", id_col: str = "doc_id") -> DataFrame:

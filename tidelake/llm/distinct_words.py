@@ -9,6 +9,7 @@ in that join only the results move.
 
     chunks(docs)  ->  rows of words by bucket + rows of documents
     per_word()    ->  words by bucket, each distinct word once  ->  results by chunk
+    named()       ->  the ids in a chunk's results, joined with a table of names
     per_chunk()   ->  documents of a chunk with the results for all their codes
 
 A word occurs at most once a chunk, so no key is hot; only distinct words and compressed
@@ -223,14 +224,17 @@ def chunks(docs: DataFrame, vocabulary, counts: bool, text: str = "text", id_col
     return materialize_buckets(rows.mapInArrow(run, _TABLE), "chunks", "chunk", n_parts(docs.sparkSession))
 
 
-def per_word(table: DataFrame, vocabulary, work: Callable) -> DataFrame:
-    """``work(splitter, word) -> bytes`` once per distinct word; rows of results by chunk."""
+def per_word(table: DataFrame, vocabulary, work: Callable, ids: bool = False) -> DataFrame:
+    """``work(splitter, word) -> bytes`` once per distinct word; rows of results by chunk.
+
+    ids: results are 32-bit ids, and each row of results is followed by one of its different ids.
+    """
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, at, known = WordSplitter(vocabulary.value), None, {}
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("chunk", "bucket", "n", "a", "b", "c")}
+            out: dict[str, list] = {k: [] for k in ("chunk", "bucket", "n", "a", "b", "c", "ids")}
             for row in batch.to_pylist():
                 if row["bucket"] != at:  # sorted by bucket: the words of the one before come no more
                     at, known = row["bucket"], {}
@@ -243,17 +247,30 @@ def per_word(table: DataFrame, vocabulary, work: Callable) -> DataFrame:
                     if word not in known:
                         known[word] = work(split, word.decode())
                     results.append(known[word])
-                sizes = np.fromiter(map(len, results), np.uint32, len(results))
-                for k, v in zip(out, (row["chunk"], row["bucket"], row["n"], row["a"], _pack(sizes), b"".join(results)), strict=True):
+                sizes, joined = np.fromiter(map(len, results), np.uint32, len(results)), b"".join(results)
+                for k, v in zip(out, (row["chunk"], row["bucket"], row["n"], row["a"], _pack(sizes), joined, None), strict=True):
                     out[k].append(v)
-            yield pa.RecordBatch.from_pydict({"chunk": out["chunk"], "bucket": pa.array(out["bucket"], pa.int32()), **{k: out[k] for k in ("n", "a", "b", "c")}})
+                if ids:
+                    for k, v in zip(out, (row["chunk"], row["bucket"], None, None, None, None, np.unique(np.frombuffer(joined, "<u4")).astype(np.int32)), strict=True):
+                        out[k].append(v)
+            kinds = {"chunk": pa.int64(), "bucket": pa.int32(), "n": pa.int64(), "a": pa.binary(), "b": pa.binary(), "c": pa.binary(), "ids": pa.list_(pa.int32())}
+            yield pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for k, v in out.items()], list(out))
 
     words = table.filter(F.col("bucket") < DOCS).repartition(n_parts(table.sparkSession), "bucket")
-    return words.sortWithinPartitions("bucket").mapInArrow(run, _TABLE)
+    return words.sortWithinPartitions("bucket").mapInArrow(run, f"{_TABLE}, ids array<int>")
+
+
+def named(results: DataFrame, names: DataFrame) -> DataFrame:
+    """Results whose rows of ids became a row for each id, joined with ``names`` (id, name).
+
+    ``names`` is as large as the vocabulary, whatever the corpus: that bounds what is broadcast.
+    """
+    rows = results.select("chunk", "n", "a", "b", "c", F.explode_outer("ids").alias("id"))
+    return rows.join(F.broadcast(names), "id", "left")
 
 
 def per_chunk(table: DataFrame, results: DataFrame, special: list[bytes], work: Callable, schema: str) -> DataFrame:
-    """``work(meta, codes, times, results)`` for each chunk; results: bytes by code."""
+    """``work(meta, codes, times, results, names)`` for each chunk; results: bytes by code; names: of its ids, if ``named``."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,9 +288,13 @@ def per_chunk(table: DataFrame, results: DataFrame, special: list[bytes], work:
                 codes = _unpack(body["lo"], np.uint16, row["n"]).astype(np.uint32) | (_unpack(body["hi"], np.uint16, row["n"]).astype(np.uint32) << 16)
                 if body["kept"]:
                     codes = np.cumsum(codes, dtype=np.uint32)
-                yield from work(meta, codes, _unpack(body["times"], np.uint32, body["kept"]), found)
+                yield from work(meta, codes, _unpack(body["times"], np.uint32, body["kept"]), found, dict(zip(row["ids"] or (), row["names"] or (), strict=True)))
 
     # a chunk's results are bounded as the chunk is; its documents stay where they are
-    own = results.groupBy("chunk").agg(F.collect_list(F.struct("n", "a", "b", "c")).alias("results"))
+    if "id" not in results.columns:
+        results = results.select("*", F.lit(None).cast("int").alias("id"), F.lit(None).cast("binary").alias("name"))
+    found, asked = F.when(F.col("n").isNotNull(), F.struct("n", "a", "b", "c")), F.when(F.col("id").isNotNull(), F.struct("id", "name"))
+    own = results.groupBy("chunk").agg(F.collect_list(found).alias("results"), F.collect_list(asked).alias("asked"))
     docs = table.filter(F.col("bucket") == DOCS).select("chunk", "n", "a", "b")
-    return docs.hint("merge").join(own, "chunk", "left").select("n", "a", "b", "results").mapInArrow(run, schema)
+    both = docs.hint("merge").join(own, "chunk", "left")
+    return both.select("n", "a", "b", "results", F.col("asked.id").alias("ids"), F.col("asked.name").alias("names")).mapInArrow(run, schema)

@@ -27,7 +27,7 @@ def _count(split: WordSplitter, word: str) -> bytes:
     return len(split.pieces(word)).to_bytes(4, "little")
 
 
-def _sum(meta: pa.RecordBatch, codes: np.ndarray, times: np.ndarray, found: list[bytes]) -> Iterator[pa.RecordBatch]:
+def _sum(meta: pa.RecordBatch, codes: np.ndarray, times: np.ndarray, found: list[bytes], _names: dict) -> Iterator[pa.RecordBatch]:
     pieces = np.frombuffer(b"".join(found), np.uint32).astype(np.int64)
     ends = np.concatenate([[0], np.cumsum(meta.column("n").to_numpy())])
     sums = np.concatenate([[0], np.cumsum(pieces[codes] * times)])
