@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tidelake.operators import asc, asof_join, desc, distinct_on, limit_by_scalar, top_n, with_ties
+from tidelake.operators import asc, asof_join, desc, distinct_on, limit_by_scalar, not_in, range_join, top_n, with_ties
 
 
 @pytest.fixture
@@ -48,3 +48,24 @@ def test_asof(spark):
     right = spark.createDataFrame([("a", t(2), 10), ("a", t(5), 11), ("a", t(6), 12)], "k string, at timestamp_ntz, v int")
     got = {r["id"]: r["v"] for r in asof_join(left, right, ["k"], "ts", "at", "").collect()}
     assert got == {1: None, 2: 11, 3: None}
+
+
+def test_not_in(spark):
+    left = spark.createDataFrame([(1, 1), (2, 2), (3, None)], "id int, k int")
+    right = spark.createDataFrame([(2,), (5,), (5,)], "v int")
+    assert ids(not_in(left, "k", right, "v")) == [1]
+    assert ids(not_in(left, "k", right.limit(0), "v")) == [1, 2, 3]
+    assert ids(not_in(left, "k", right.union(spark.sql("select cast(null as int)")), "v")) == []
+    assert not_in(left, "k", right, "v").columns == ["id", "k"]
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_range_join_by_bins(spark, how):
+    at = lambda m: datetime(2024, 1, 1 + m // 1440, m // 60 % 24, m % 60)
+    points = spark.createDataFrame([(i % 3, at(37 * i), i) for i in range(60)] + [(0, None, 60), (None, at(5), 61)], "k int, ts timestamp_ntz, id int")
+    spans = [(i % 2, at(200 * i), at(200 * i + n), i) for i, n in enumerate((0, 1, 60, 61, 700, 120, 1500))] + [(0, None, at(9), 7), (1, at(60), at(30), 8)]
+    ranges = spark.createDataFrame(spans, "k int, lo timestamp_ntz, hi timestamp_ntz, r int")
+    want, got = (range_join(points, ranges, ["k"], "ts", "lo", "hi", how, w) for w in (None, "60 minutes"))
+    assert got.columns == want.columns
+    key = lambda rows: sorted(map(str, rows))
+    assert key(got.collect()) == key(want.collect())

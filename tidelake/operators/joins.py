@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelake.functions.time import interval_micros, micros
+
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], ts: str, right_ts: str, prefix: str = "r_") -> DataFrame:
     """Each left row with the latest right row of its key at or before its time (none: nulls).
@@ -20,10 +22,37 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], ts: str, right_t
     return out.select("_l.*", *[F.col(f"_r.{c}").alias(f"{prefix}{c}") for c in cols])
 
 
-def range_join(points: DataFrame, ranges: DataFrame, by: list[str], at: str, start: str, end: str, how: str = "inner") -> DataFrame:
-    """Points in [start, end) of a range with equal keys: an equi join with the range as its condition."""
-    x, y = points.alias("p"), ranges.alias("q")
+def range_join(points: DataFrame, ranges: DataFrame, by: list[str], at: str, start: str, end: str, how: str = "inner", width: str | None = None) -> DataFrame:
+    """Points in [start, end) of a range with equal keys: an equi join with the range as its condition.
+
+    width: an interval such as ``'6 hours'``.  Both sides are then also joined on bins of time, a range
+    standing in each bin it touches, so a busy key is no single task and far pairs are never made.  A width
+    near the usual range is best; ``how`` must not keep rows of ranges then.
+    """
+    x, y, bins = points, ranges, ["_bin_p", "_bin_q"]
+    if width:
+        if how not in ("inner", "left", "left_outer", "left_semi", "left_anti"):
+            raise ValueError(f"{how!r} keeps ranges, which stand in several bins")
+        while set(bins) & {*points.columns, *ranges.columns}:
+            bins = [f"_{b}" for b in bins]
+        w = F.lit(interval_micros(width)).cast("long")
+        floor = lambda m: m - F.pmod(m, w)
+        x = points.withColumn(bins[0], floor(micros(at)))
+        y = ranges.filter(F.col(start) < F.col(end)).withColumn(bins[1], F.explode(F.sequence(floor(micros(start)), floor(micros(end) - 1), w)))
+    x, y = x.alias("p"), y.alias("q")
     on = (F.col(f"p.{at}") >= F.col(f"q.{start}")) & (F.col(f"p.{at}") < F.col(f"q.{end}"))
     for k in by:
         on = on & (F.col(f"p.{k}") == F.col(f"q.{k}"))
-    return x.join(y, on, how)
+    return x.join(y, on & (F.col(bins[0]) == F.col(bins[1])), how).drop(*bins) if width else x.join(y, on, how)
+
+
+def not_in(left: DataFrame, key: str, right: DataFrame, right_key: str) -> DataFrame:
+    """Rows of ``left`` whose key is NOT IN ``right``, as SQL has it with nulls, by a plain anti join.
+
+    An empty ``right`` keeps every row; a null in it keeps none; a null key stays only beside an empty
+    ``right``.  Nothing has to be broadcast but the one row that tells these cases apart.
+    """
+    keys = right.select(F.col(right_key).alias("k"))
+    case = keys.agg(F.when(F.count(F.lit(1)) == 0, "empty").when(F.count("k") < F.count(F.lit(1)), "null").otherwise("plain")).scalar()
+    rows = left.alias("l").join(keys.alias("r"), F.col(f"l.{key}") == F.col("r.k"), "left_anti")
+    return rows.filter((case == "empty") | ((case == "plain") & F.col(key).isNotNull()))

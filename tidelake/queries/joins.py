@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidelake.operators import asof_join, range_join
+from tidelake.operators import asof_join, not_in, range_join
 from tidelake.queries.base import Registry
 
 Q = Registry()
@@ -19,8 +19,6 @@ Q.same("c04_full_outer", "select coalesce(a.k, -1) as ka, coalesce(b.k, -1) as k
 Q.same("c05_exists", "select c_custkey, c_name from customer where exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 300000)")
 Q.same("c05_in_subquery", "select p_partkey from part where p_partkey in (select l_partkey from lineitem where l_quantity = 50)")
 Q.same("c06_not_exists", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
-Q.same("c07_not_in", "select p_partkey from part where p_partkey not in (select l_partkey from lineitem where l_quantity > 45)")
-Q.same("c07_not_in_null", "select p_partkey from part where p_partkey not in (select nullif(l_partkey, 1) from lineitem)")
 Q.same("c08_nested_exists", "select c_custkey from customer where exists (select 1 from orders where o_custkey = c_custkey and not exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R'))")
 Q.same("c09_self_theta", "select a.event_id as a, b.event_id as b from events a join events b on a.user_id = b.user_id and b.ts > a.ts where a.event_type = 'signup' and b.event_type = 'purchase'")
 Q.same("c11_lateral_top1", "select c_custkey, t.o_orderkey from customer cross join lateral (select o_orderkey from orders where o_custkey = c_custkey order by o_totalprice desc, o_orderkey limit 1) t")
@@ -53,7 +51,7 @@ def _range(_, load):
     e = load("events")
     start = e.filter("event_type = 'signup'").select("user_id", F.col("event_id").alias("a"), F.col("ts").alias("lo"), (F.col("ts") + F.expr("interval 30 hours")).alias("hi"))
     points = e.filter("event_type = 'click'").select("user_id", F.col("event_id").alias("b"), "ts")
-    return range_join(points, start, ["user_id"], "ts", "lo", "hi").select("a", "b")
+    return range_join(points, start, ["user_id"], "ts", "lo", "hi", width="30 hours").select("a", "b")
 
 
 @Q.frame("c18_asof_join", """select p.event_id, coalesce(c.event_id, -1) as click_id from (select * from events where event_type = 'purchase') p
@@ -63,3 +61,14 @@ def _asof(_, load):
     p = e.filter("event_type = 'purchase'").select("user_id", "event_id", "ts")
     c = e.filter("event_type = 'click'").select("user_id", F.col("event_id").alias("click_id"), F.col("ts").alias("cts"))
     return asof_join(p, c, ["user_id"], "ts", "cts", "").select("event_id", F.coalesce("click_id", F.lit(-1).cast("long")).alias("click_id"))
+
+
+@Q.frame("c07_not_in", "select p_partkey from part where p_partkey not in (select l_partkey from lineitem where l_quantity > 45)")
+def _not_in(_, load):
+    return not_in(load("part"), "p_partkey", load("lineitem").filter("l_quantity > 45"), "l_partkey").select("p_partkey")
+
+
+@Q.frame("c07_not_in_null", "select p_partkey from part where p_partkey not in (select nullif(l_partkey, 1) from lineitem)")
+def _not_in_null(_, load):
+    keys = load("lineitem").select(F.nullif("l_partkey", F.lit(1)).alias("l_partkey"))
+    return not_in(load("part"), "p_partkey", keys, "l_partkey").select("p_partkey")
