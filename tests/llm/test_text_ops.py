@@ -129,6 +129,33 @@ def test_line_dedup(spark, docs, empty):
     assert line_dedup.line_dedup(empty).count() == 0
 
 
+def without_later_lines(rows):
+    """Brute force: (id, text) in order; what remains of each text."""
+    lines = [(t or "").split("\n") for _, t in rows]
+    first, gone = {}, collections.defaultdict(set)
+    for d, own in enumerate(lines):
+        for p in range(len(own) - 2):
+            win = tuple(own[p : p + 3])
+            if any(x.strip(" ") for x in win):
+                e, q = first.setdefault(win, (d, p))
+                if (e, q) != (d, p):
+                    gone[d] |= set(range(p, p + 3)) - (set(range(q, q + 3)) if e == d else set())
+    return {i: t and "\n".join(x for k, x in enumerate(lines[d]) if k not in gone[d]) for d, (i, t) in enumerate(rows)}
+
+
+def test_line_dedup_copy_of_a_document_with_a_shared_passage(spark):
+    rows = [(1, "p1\np2\np3"), (2, "x\np1\np2\np3\ny"), (3, "x\np1\np2\np3\ny")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "p1\np2\np3", 2: "x\ny", 3: ""}
+
+
+def test_line_dedup_against_brute_force(spark):
+    r = random.Random(31)
+    rows = [(i, None if i % 29 == 0 else "\n".join(r.choices(["a", "b", "c", " "], k=r.randint(0, 14)))) for i in range(120)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == without_later_lines(rows)
+
+
 def shingles(text):
     w = (text or "").translate({c: c + 32 for c in range(65, 91)}).encode().split()
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()

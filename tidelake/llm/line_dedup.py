@@ -1,10 +1,10 @@
 """Line de-duplication over overlapping three-line windows, all in built-in expressions.
 
 Each document's windows of three consecutive lines are hashed (128 bits); windows that
-occur again anywhere are found by one grouped count.  The first occurrence, in the
-order of (doc_id, line), stays; the lines covered by later ones are merged into runs
-and removed, except where a first occurrence of a repeated window covers them too, so
-every repeated passage stays whole in one place.
+occur again anywhere are found by one grouped count.  The lines covered by a later
+occurrence, in the order of (doc_id, line), are merged into runs and removed; only lines
+that the first occurrence of the same window covers too (it overlaps itself) are spared.
+So each removed line stands in an earlier place as well, and its earliest one remains.
 
 Defined cases: null has no lines; a text of fewer than three lines has no windows;
 windows of blank lines only are not counted; a null doc_id comes first; repeated rows
@@ -49,9 +49,10 @@ def removed_runs(docs: DataFrame, window: int = WINDOW, text: str = "text", id_c
     rows = materialize(rows.select("doc_id", "h", F.col("w.pos").alias("pos"), F.col("w.a").alias("a"), F.col("w.b").alias("b")).distinct(), "windows")
     again = rows.groupBy("a", "b").agg(F.min(F.struct("doc_id", "h", "pos")).alias("first"), F.count(F.lit(1)).alias("m")).filter("m > 1")
     mine = rows.join(again.hint("shuffle_merge"), ["a", "b"])
-    is_first = F.struct("doc_id", "h", "pos").eqNullSafe(F.col("first"))
-    covered = mine.select("doc_id", "h", is_first.alias("first"), F.explode(F.sequence("pos", F.col("pos") + window - 1)).alias("line"))
-    lines = covered.groupBy("doc_id", "h", "line").agg(F.max("first").alias("keep")).filter("not keep")
+    later = mine.filter(~F.struct("doc_id", "h", "pos").eqNullSafe(F.col("first")))
+    same = F.struct("doc_id", "h").eqNullSafe(F.struct("first.doc_id", "first.h"))
+    begin = F.when(same, F.greatest("pos", F.col("first.pos") + window)).otherwise(F.col("pos"))
+    lines = later.select("doc_id", "h", F.explode(F.sequence(begin, F.col("pos") + window - 1)).alias("line")).distinct()
     order = Window.partitionBy("doc_id", "h").orderBy("line")
     runs = lines.withColumn("run", F.col("line") - F.row_number().over(order)).groupBy("doc_id", "h", "run").agg(F.min("line").alias("lo"), F.max("line").alias("hi"))
     return runs.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("runs"), F.sum(F.col("hi") - F.col("lo") + 1).cast("long").alias("n_removed"))
@@ -107,9 +108,10 @@ with d as (select doc_id, text, case when text is null then [] else string_split
 w as (select doc_id, p, l[p] || chr(10) || l[p + 1] || chr(10) || l[p + 2] as win
       from (select doc_id, l, unnest(range(1, len(l) - 1)) as p from d)
       where trim(l[p], ' ') <> '' or trim(l[p + 1], ' ') <> '' or trim(l[p + 2], ' ') <> ''),
-r as (select *, row_number() over (partition by win order by doc_id, p) as k, count(*) over (partition by win) as m from w),
-c as (select doc_id, line, bool_or(k = 1) as keep from (select doc_id, k, unnest(range(p, p + 3)) as line from r where m > 1) group by doc_id, line),
-x as (select doc_id, list(line) filter (not keep) as gone from c group by doc_id)
+r as (select *, row_number() over o as k, first_value(doc_id) over o as d0, first_value(p) over o as p0
+      from w window o as (partition by win order by doc_id, p)),
+c as (select distinct doc_id, unnest(range(case when doc_id = d0 then greatest(p, p0 + 3) else p end, p + 3)) as line from r where k > 1),
+x as (select doc_id, list(line) as gone from c group by doc_id)
 select d.doc_id, cast(len(l) as bigint) as n_lines, cast(coalesce(len(gone), 0) as bigint) as n_removed,
        sha256(coalesce(array_to_string(list_filter(l, lambda v, i: not list_contains(coalesce(gone, []), i)), chr(10)), '')) as kept_sha256
 from d left join x using (doc_id)
