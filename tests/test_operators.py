@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tidelake.operators import asc, asof_join, desc, distinct_on, limit_by_scalar, not_in, range_join, top_n, with_ties
+from tidelake.operators import asc, asof_join, desc, distinct_on, limit_by_scalar, not_in, pair_counts, range_join, top_n, with_ties
 
 
 @pytest.fixture
@@ -69,3 +69,9 @@ def test_range_join_by_bins(spark, how):
     assert got.columns == want.columns
     key = lambda rows: sorted(map(str, rows))
     assert key(got.collect()) == key(want.collect())
+
+
+def test_pair_counts(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (2, "x"), (None, "x"), (1, None), (3, "x")], "k int, t string")
+    b = spark.createDataFrame([(1, "x"), (1, "x"), (1, "x"), (2, "y"), (None, "x"), (1, None), (3, "x")], "k int, t string")
+    assert sorted(pair_counts(a, b, ["k", "t"], "n").collect()) == sorted(a.join(b, ["k", "t"]).groupBy("k", "t").agg(F.count("*")).collect()) == [(1, "x", 6), (3, "x", 1)]

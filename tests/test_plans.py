@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tidelake import queries as core
 from tidelake.operators import distinct_on
 from tidelake.plans.explain import cost, summary
 
@@ -17,3 +18,12 @@ def test_summary(spark, tmp_path):
     assert len(two["joins"]) == 1
     assert "WindowGroupLimit" in distinct_on(t, ["k"], F.col("id").desc())._jdf.queryExecution().executedPlan().toString()
     assert "sizeInBytes" in cost(t)
+
+
+def test_c15_counts_pairs_without_making_them(spark, tmp_path):
+    n = 1 << 18  # 2^34 pairs
+    e = spark.range(2 * n).select((F.col("id") * 10).alias("user_id"), F.when(F.col("id") < n, "error").otherwise("signup").alias("event_type"))
+    e.write.parquet(f"file://{tmp_path}/events.parquet")
+    got = core.queries()["c15_using"](spark, f"file://{tmp_path}")
+    assert got._jdf.queryExecution().executedPlan().toString().count("HashAggregate") == 4  # both sides, before the join
+    assert [tuple(r) for r in got.collect()] == [(0, n * n)]

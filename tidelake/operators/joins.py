@@ -1,4 +1,4 @@
-"""Joins on time: the latest row before, and intervals."""
+"""Joins on time, counts of pairs, NOT IN."""
 
 from __future__ import annotations
 
@@ -46,6 +46,15 @@ def range_join(points: DataFrame, ranges: DataFrame, by: list[str], at: str, sta
     return x.join(y, on & (F.col(bins[0]) == F.col(bins[1])), how).drop(*bins) if width else x.join(y, on, how)
 
 
+def pair_counts(left: DataFrame, right: DataFrame, by: list[str], alias: str) -> DataFrame:
+    """Rows of an inner join on equal keys, counted per key.
+
+    They are the product of both sides' counts: a join of one row per key, no pair is made.  A null key has no pairs.
+    """
+    a, b = (side.groupBy(*by).agg(F.count(F.lit(1)).alias(n)) for side, n in ((left, "_a"), (right, "_b")))
+    return a.join(b, by).select(*by, (F.col("_a") * F.col("_b")).alias(alias))
+
+
 def not_in(left: DataFrame, key: str, right: DataFrame, right_key: str) -> DataFrame:
     """Rows of ``left`` whose key is NOT IN ``right``, as SQL has it with nulls, by a plain anti join.
 
