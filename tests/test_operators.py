@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tidelake.operators import asc, asof_join, desc, distinct_on, limit_by_scalar, not_in, pair_counts, range_join, top_n, with_ties
+from tidelake.operators import asc, asof_join, desc, distinct_on, lateral_top_k, limit_by_scalar, not_in, pair_counts, range_join, top_n, with_ties
 
 
 @pytest.fixture
@@ -75,3 +75,14 @@ def test_pair_counts(spark):
     a = spark.createDataFrame([(1, "x"), (1, "x"), (2, "x"), (None, "x"), (1, None), (3, "x")], "k int, t string")
     b = spark.createDataFrame([(1, "x"), (1, "x"), (1, "x"), (2, "y"), (None, "x"), (1, None), (3, "x")], "k int, t string")
     assert sorted(pair_counts(a, b, ["k", "t"], "n").collect()) == sorted(a.join(b, ["k", "t"]).groupBy("k", "t").agg(F.count("*")).collect()) == [(1, "x", 6), (3, "x", 1)]
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_lateral_top_k(spark, how):
+    left = spark.createDataFrame([(1, 1), (2, 2), (3, 3), (4, None), (5, 1)], "id int, k int")
+    right = spark.createDataFrame([(1, 10, 5), (1, 11, 9), (1, 12, 9), (2, 13, None), (2, 14, 1), (None, 15, 9), (9, 16, 9)], "r int, v int, x int")
+    got = lateral_top_k(left, right, "k", "r", 2, F.col("x").desc_nulls_last(), asc("v"), how=how).select("id", "v").collect()
+    want = [(1, 11), (1, 12), (2, 13), (2, 14), (5, 11), (5, 12)] + ([(3, None), (4, None)] if how == "left" else [])
+    assert sorted(got, key=str) == sorted(want, key=str)
+    with pytest.raises(ValueError):
+        lateral_top_k(left, right, "k", "r", 1, asc("v"), how="full")

@@ -2,6 +2,7 @@
 
 import math
 import os
+import re
 
 import duckdb
 import pytest
@@ -43,3 +44,20 @@ def test_same_rows(spark, duck, name):
         return
     want = duck.sql(sql)
     assert got == rows(want.columns, want.fetchall())
+
+
+@pytest.mark.parametrize("name", ["c11_lateral_top1"])
+def test_lateral_order(spark, tmp_path, name):
+    """Nulls, ties and keys in many partitions; the rows of a key are ranked by the whole order after the last shuffle."""
+    con = duckdb.connect()
+    con.sql(f"""copy (select k::bigint as c_custkey from (values (1), (1), (2), (3), (4), (5), (6), (null), (8)) t(k)) to '{tmp_path}/customer.parquet'""")
+    con.sql(f"""copy (select o::bigint as o_orderkey, c::bigint as o_custkey, s as o_orderstatus, p::double as o_totalprice from (values (2, 1, 'P', '5'), (1, 1, 'P', '5'), (3, 1, 'P', null),
+      (4, 2, 'P', null), (5, 2, 'P', '1'), (6, 3, 'P', null), (null, 3, 'P', null), (null, 4, 'P', '7'), (9, 4, 'P', '7'), (10, null, 'P', '3'), (11, 5, 'P', 'nan'), (12, 5, 'F', 'inf'),
+      (15, 6, 'P', '0'), (14, 6, 'P', '-0'), (20, 8, null, '9'), (21, 8, 'F', '1')) t(o, c, s, p)) to '{tmp_path}/orders.parquet'""")
+    for t in ("customer", "orders"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    got, want = core.queries()[name](spark, f"file://{tmp_path}"), con.sql(core.oracle_sql()[name])
+    assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(want.columns, want.fetchall())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"row_number\(\) windowspecdefinition\(o_custkey#\w+, o_totalprice#\w+ DESC NULLS LAST, o_orderkey#\w+ ASC NULLS LAST", plan)
+    assert "rangepartitioning" not in plan

@@ -1,11 +1,12 @@
-"""Joins on time, counts of pairs, NOT IN."""
+"""Joins on time, lateral joins, counts of pairs, NOT IN."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelake.functions.time import interval_micros, micros
+from tidelake.operators.select import top_k_per_group
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], ts: str, right_ts: str, prefix: str = "r_") -> DataFrame:
@@ -46,6 +47,18 @@ def range_join(points: DataFrame, ranges: DataFrame, by: list[str], at: str, sta
     return x.join(y, on & (F.col(bins[0]) == F.col(bins[1])), how).drop(*bins) if width else x.join(y, on, how)
 
 
+def lateral_top_k(left: DataFrame, right: DataFrame, key: str, right_key: str, k: int, *order: Column, how: str = "inner") -> DataFrame:
+    """``left JOIN LATERAL (SELECT .. FROM right WHERE right_key = key ORDER BY .. LIMIT k)``; ``how``: inner or left.
+
+    Spark's own lateral LIMIT sorts the whole table and then numbers the rows of each key in whatever order they
+    come from the next shuffle; here each key is ranked in the order itself, and a map task sends k rows a key.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError(f"{how!r}: a lateral join is inner or left")
+    best = top_k_per_group(right.filter(F.col(right_key).isNotNull()), [right_key], k, *order)
+    return left.join(best, F.col(key) == F.col(right_key), how)
+
+
 def pair_counts(left: DataFrame, right: DataFrame, by: list[str], alias: str) -> DataFrame:
     """Rows of an inner join on equal keys, counted per key.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidelake.operators import asof_join, not_in, pair_counts, range_join
+from tidelake.operators import asc, asof_join, lateral_top_k, not_in, pair_counts, range_join
 from tidelake.queries.base import Registry
 
 Q = Registry()
@@ -21,7 +21,6 @@ Q.same("c05_in_subquery", "select p_partkey from part where p_partkey in (select
 Q.same("c06_not_exists", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
 Q.same("c08_nested_exists", "select c_custkey from customer where exists (select 1 from orders where o_custkey = c_custkey and not exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R'))")
 Q.same("c09_self_theta", "select a.event_id as a, b.event_id as b from events a join events b on a.user_id = b.user_id and b.ts > a.ts where a.event_type = 'signup' and b.event_type = 'purchase'")
-Q.same("c11_lateral_top1", "select c_custkey, t.o_orderkey from customer cross join lateral (select o_orderkey from orders where o_custkey = c_custkey order by o_totalprice desc, o_orderkey limit 1) t")
 Q.same("c12_left_lateral", "select c_custkey, coalesce(t.o_orderkey, -1) as o_orderkey from customer left join lateral (select o_orderkey from orders where o_custkey = c_custkey and o_orderstatus = 'P' order by o_totalprice desc, o_orderkey limit 1) t on true")
 Q.same("c13_null_safe", "select a.k as ka, count(*) as n from (select nullif(event_type, 'click') as k from events where user_id < 40) a join (select distinct nullif(event_type, 'click') as k from events) b on a.k is not distinct from b.k group by a.k")
 Q.same("c13_plain_equal", "select a.k as ka, count(*) as n from (select nullif(event_type, 'click') as k from events where user_id < 40) a join (select distinct nullif(event_type, 'click') as k from events) b on a.k = b.k group by a.k")
@@ -62,6 +61,17 @@ def _asof(_, load):
     return asof_join(p, c, ["user_id"], "ts", "cts", "").select("event_id", F.coalesce("click_id", F.lit(-1).cast("long")).alias("click_id"))
 
 
+@Q.frame("c11_lateral_top1", "select c_custkey, t.o_orderkey from customer cross join lateral (select o_orderkey from orders where o_custkey = c_custkey order by o_totalprice desc, o_orderkey limit 1) t")
+def _lateral(_, load):
+    return _dearest(load("customer"), load("orders"), "inner")
+
+
+def _dearest(customer, orders, how):
+    o = orders.select("o_custkey", "o_orderkey", "o_totalprice")
+    order = F.col("o_totalprice").desc_nulls_last(), asc("o_orderkey")
+    return lateral_top_k(customer.select("c_custkey"), o, "c_custkey", "o_custkey", 1, *order, how=how).select("c_custkey", "o_orderkey")
+
+
 @Q.frame("c15_using", "select k, count(*) as n from (select user_id % 10 as k from events where event_type = 'error') a join (select user_id % 10 as k from events where event_type = 'signup') b using (k) group by k")
 def _using(_, load):
     e = load("events").withColumn("k", F.expr("user_id % 10"))
