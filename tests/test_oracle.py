@@ -46,7 +46,7 @@ def test_same_rows(spark, duck, name):
     assert got == rows(want.columns, want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["c11_lateral_top1"])
+@pytest.mark.parametrize("name", ["c11_lateral_top1", "c12_left_lateral"])
 def test_lateral_order(spark, tmp_path, name):
     """Nulls, ties and keys in many partitions; the rows of a key are ranked by the whole order after the last shuffle."""
     con = duckdb.connect()
