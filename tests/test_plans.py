@@ -1,5 +1,7 @@
 """Plans are the ones that were meant."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from tidelake import queries as core
@@ -27,3 +29,15 @@ def test_c15_counts_pairs_without_making_them(spark, tmp_path):
     got = core.queries()["c15_using"](spark, f"file://{tmp_path}")
     assert got._jdf.queryExecution().executedPlan().toString().count("HashAggregate") == 4  # both sides, before the join
     assert [tuple(r) for r in got.collect()] == [(0, n * n)]
+
+
+def test_d12_keeps_one_sketch_a_task(spark, tmp_path):
+    e = spark.range(20000).select(F.when(F.col("id") % 9 > 0, F.col("id") % 7919).alias("user_id"))
+    e.write.parquet(f"file://{tmp_path}/events.parquet")
+    got = core.queries()["d12_approx_distinct"](spark, f"file://{tmp_path}")
+    aggregates = re.findall(r"Aggregate\(keys=\[(.*?)\], functions=\[(.*?)\], output", got._jdf.queryExecution().executedPlan().toString())
+    sketches = [keys for keys, functions in aggregates if "approx_count_distinct" in functions]
+    assert len(sketches) == 2 and not any(sketches)  # no sketch is kept by key
+    assert [tuple(r) for r in got.collect()] == [(True,)]
+    e.limit(0).write.parquet(f"file://{tmp_path}/none/events.parquet")
+    assert [tuple(r) for r in core.queries()["d12_approx_distinct"](spark, f"file://{tmp_path}/none").collect()] == [(True,)]
