@@ -50,6 +50,14 @@ def test_asof(spark):
     assert got == {1: None, 2: 11, 3: None}
 
 
+def test_asof_strict(spark):
+    t = lambda h: datetime(2024, 1, 1, h)
+    left = spark.createDataFrame([("a", t(2), 1), ("a", t(5), 2), ("a", t(5), 3), ("b", t(9), 4)], "k string, ts timestamp_ntz, id int")
+    right = spark.createDataFrame([("a", t(2), 10), ("a", t(5), 11), ("b", t(1), 12)], "k string, at timestamp_ntz, v int")
+    got = {r["id"]: r["v"] for r in asof_join(left, right, ["k"], "ts", "at", "", strict=True).collect()}
+    assert got == {1: None, 2: 10, 3: 10, 4: 12}
+
+
 def test_not_in(spark):
     left = spark.createDataFrame([(1, 1), (2, 2), (3, None)], "id int, k int")
     right = spark.createDataFrame([(2,), (5,), (5,)], "v int")

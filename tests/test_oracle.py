@@ -61,3 +61,16 @@ def test_lateral_order(spark, tmp_path, name):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"row_number\(\) windowspecdefinition\(o_custkey#\w+, o_totalprice#\w+ DESC NULLS LAST, o_orderkey#\w+ ASC NULLS LAST", plan)
     assert "rangepartitioning" not in plan
+
+
+def test_pairing_without_pairs(spark, tmp_path):
+    """Busy users, equal times and nulls; as a join of clicks and purchases it would make 10^10 pairs."""
+    con = duckdb.connect()
+    con.sql(f"""copy (select nullif(i // 2 % 3, 2) as user_id, if(i % 2 = 0, 'click', 'purchase') as event_type,
+      if(i % 97 = 0, null, timestamp '2024-01-01' + to_microseconds(i // 60000 * 3000000000 + i * 7919 % 60000 // 7 * 350001)) as ts from range(600000) t(i)) to '{tmp_path}/events.parquet'""")
+    got = core.queries()["c16_pairing"](spark, f"file://{tmp_path}")
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    e = f"select *, max(ts) filter (where event_type = 'click') over (partition by user_id order by ts range between unbounded preceding and interval 1 microsecond preceding) as c from '{tmp_path}/events.parquet'"
+    want = con.sql(f"select user_id, min(cast((epoch_us(ts) - epoch_us(c)) // 1000000 as bigint)) as wait from ({e}) where event_type = 'purchase' and c < ts and user_id is not null group by user_id")
+    assert len(want.fetchall()) == 2
+    assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(want.columns, want.fetchall())

@@ -9,17 +9,18 @@ from tidelake.functions.time import interval_micros, micros
 from tidelake.operators.select import top_k_per_group
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], ts: str, right_ts: str, prefix: str = "r_") -> DataFrame:
-    """Each left row with the latest right row of its key at or before its time (none: nulls).
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], ts: str, right_ts: str, prefix: str = "r_", strict: bool = False) -> DataFrame:
+    """Each left row with the latest right row of its key at or before its time (none: nulls); strict: before it.
 
     Both sides go through one shuffle by key and one running last value; no pair is made.
     """
     cols = [c for c in right.columns if c not in by]
+    mine = 0 if strict else 1  # place of left rows among equal times
     own = F.struct(*[F.col(c) for c in left.columns]).alias("_l")
-    a = left.select(*by, F.col(ts).alias("_t"), F.lit(1).alias("_side"), own, F.lit(None).cast(right.select(F.struct(*cols)).schema[0].dataType).alias("_r"))
-    b = right.select(*by, F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(left.select(own).schema[0].dataType).alias("_l"), F.struct(*cols).alias("_r"))
+    a = left.select(*by, F.col(ts).alias("_t"), F.lit(mine).alias("_side"), own, F.lit(None).cast(right.select(F.struct(*cols)).schema[0].dataType).alias("_r"))
+    b = right.select(*by, F.col(right_ts).alias("_t"), F.lit(1 - mine).alias("_side"), F.lit(None).cast(left.select(own).schema[0].dataType).alias("_l"), F.struct(*cols).alias("_r"))
     at = Window.partitionBy(*by).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    out = a.unionByName(b).withColumn("_r", F.last("_r", ignorenulls=True).over(at)).filter("_side = 1")
+    out = a.unionByName(b).withColumn("_r", F.last("_r", ignorenulls=True).over(at)).filter(F.col("_side") == mine)
     return out.select("_l.*", *[F.col(f"_r.{c}").alias(f"{prefix}{c}") for c in cols])
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidelake.functions.time import micros
 from tidelake.operators import asc, asof_join, lateral_top_k, not_in, pair_counts, range_join
 from tidelake.queries.base import Registry
 
@@ -26,7 +27,6 @@ Q.same("c13_plain_equal", "select a.k as ka, count(*) as n from (select nullif(e
 Q.same("c14_multi_column", "select count(*) as n from lineitem a join (select l_orderkey, l_linenumber, max(l_quantity) as q from lineitem group by l_orderkey, l_linenumber) b on a.l_orderkey = b.l_orderkey and a.l_linenumber = b.l_linenumber and a.l_quantity = b.q")
 Q.same("c14_grouped_subquery", "select o_orderkey, o_totalprice, t.n from orders join (select l_orderkey, count(*) as n from lineitem group by l_orderkey having count(*) > 5) t on l_orderkey = o_orderkey")
 Q.same("c15_values", "select event_type, v.w, count(*) as n from events join (values ('click', 1), ('purchase', 5)) as v(kind, w) on event_type = v.kind group by event_type, v.w")
-Q.sql("c16_pairing", "select a.user_id, min((unix_micros(cast(b.ts as timestamp)) - unix_micros(cast(a.ts as timestamp))) div 1000000) as wait from events a join events b on a.user_id = b.user_id and a.event_type = 'click' and b.event_type = 'purchase' and b.ts > a.ts group by a.user_id", "select a.user_id, min(cast((epoch_us(b.ts) - epoch_us(a.ts)) // 1000000 as bigint)) as wait from events a join events b on a.user_id = b.user_id and a.event_type = 'click' and b.event_type = 'purchase' and b.ts > a.ts group by a.user_id")
 Q.same("c17_scalar_count", "select c_custkey, (select count(*) from orders where o_custkey = c_custkey) as n from customer")
 Q.same("c17_scalar_max", "select n_nationkey, (select max(c_acctbal) from customer where c_nationkey = n_nationkey) as m from nation")
 Q.same("c17_scalar_avg", "select o_orderkey from orders o where o_totalprice > (select avg(o_totalprice) * 1.5 from orders i where i.o_custkey = o.o_custkey)")
@@ -83,6 +83,15 @@ def _using(_, load):
     return pair_counts(e.filter("event_type = 'error'"), e.filter("event_type = 'signup'"), ["k"], "n")
 
 
+@Q.frame("c16_pairing", "select a.user_id, min(cast((epoch_us(b.ts) - epoch_us(a.ts)) // 1000000 as bigint)) as wait from events a join events b on a.user_id = b.user_id and a.event_type = 'click' and b.event_type = 'purchase' and b.ts > a.ts group by a.user_id")
+def _pairing(_, load):
+    e = load("events").filter("user_id is not null and ts is not null")
+    b = e.filter("event_type = 'purchase'").select("user_id", "ts")
+    a = e.filter("event_type = 'click'").select("user_id", F.col("ts").alias("click"))
+    last = asof_join(b, a, ["user_id"], "ts", "click", "", strict=True).filter("click is not null")  # the shortest wait is since the latest click
+    return last.groupBy("user_id").agg(F.min(micros("ts") - micros("click")).alias("wait")).withColumn("wait", F.expr("wait div 1000000"))
+
+
 @Q.frame("c07_not_in", "select p_partkey from part where p_partkey not in (select l_partkey from lineitem where l_quantity > 45)")
 def _not_in(_, load):
     return not_in(load("part"), "p_partkey", load("lineitem").filter("l_quantity > 45"), "l_partkey").select("p_partkey")
