@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -217,6 +218,49 @@ def test_suffix_array():
         assert suffix_array.suffix_array(np.array(s, int)) == sorted(range(len(s)), key=lambda i: s[i:])
 
 
+@pytest.mark.parametrize("rare", [1, 2, 5])
+def test_repeated_starts_against_brute_force(monkeypatch, rare):
+    monkeypatch.setattr(suffix_array, "RARE", rare)
+    r = random.Random(40 + rare)
+    for _ in range(150):
+        letters = bytes(r.sample(range(256), r.choice([1, 2, 3, 8, 60])))
+        base = [bytes(r.choices(letters, k=r.randint(0, 120))) for _ in range(4)]
+        texts = [b"".join(b[: r.randint(0, len(b))] if r.random() < 0.5 else b[r.randint(0, len(b)) :] for b in r.choices(base, k=r.randint(0, 4))) for _ in range(r.randint(0, 8))]
+        for least in (5, 9, 40):
+            c = collections.Counter(t[k : k + least] for t in texts for k in range(len(t) - least + 1))
+            want = [[c[t[k : k + least]] > 1 for k in range(len(t) - least + 1)] for t in texts]
+            assert [f.tolist() for f in suffix_array.repeated_starts(texts, least)] == want
+
+
+def test_few_suffixes_are_sorted(monkeypatch):
+    sizes = []
+    monkeypatch.setattr(suffix_array, "suffix_array", lambda x, f=suffix_array.suffix_array: (sizes.append(len(x)), f(x))[1])
+    same = prose(4000, 50).encode()
+    texts = [same[k : k + 300] + prose(30, 1000 + k).encode() for k in range(0, 8000, 160)]
+    got = suffix_array.repeated_starts(texts)
+    c = collections.Counter(t[k : k + 200] for t in texts for k in range(len(t) - 199))
+    assert [f.tolist() for f in got] == [[c[t[k : k + 200]] > 1 for k in range(len(t) - 199)] for t in texts]
+    # one token in about 32 bytes, not one a word
+    assert sum(sizes) < sum(map(len, texts)) / 12
+
+
+def test_runs_of_against_brute_force(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "STEP", 64)
+    texts = [b"", prose(80, 51).encode(), b"x" * 199, b"ab" * 300, b"", prose(30, 52).encode() * 3, b"y" * 200]
+    ends = np.cumsum([len(t) for t in texts])
+    starts = ends - [len(t) for t in texts]
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    grams = substring_dedup._Hashes(raw).of(np.arange(len(raw) - 31), 32)
+    want = []
+    for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+        own = [min(range(s, s + 169), key=lambda k: (int(grams[k]) >> 27, k)) for s in range(a, b - 199)]
+        for at, same in itertools.groupby(range(len(own)), key=lambda k: own[k]):
+            same = list(same)
+            want.append((i, a + same[0], len(same), int(grams[at])))
+    piece, first, many, anchor, _ = substring_dedup.runs_of(raw, starts, ends)
+    assert list(zip(piece.tolist(), first.tolist(), many.tolist(), anchor.tolist(), strict=True)) == want
+
+
 @pytest.mark.parametrize("most", [1000, 1])
 def test_substring_dedup(spark, docs, empty, monkeypatch, most):
     monkeypatch.setattr(substring_dedup, "MOST_TEXTS", most)

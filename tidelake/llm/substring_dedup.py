@@ -4,8 +4,9 @@
    Consecutive windows of one anchor form a run.  Equal windows have equal anchors, so
    only anchors that occur twice anywhere matter; equal runs are kept as one with a count.
 2. Runs of a repeated anchor that differ are cut out of their texts, brought together by
-   anchor, and searched by a suffix array (``suffix_array``): a window is repeated if it
-   shares 200 bytes with a neighbour in suffix order.
+   anchor, and searched by a suffix array (``suffix_array``) of the places where a hash of
+   the next bytes is low: a window is repeated if what follows the first such place in it is
+   shared with a neighbour in suffix order, and the bytes before are the same.
 3. An anchor with over ``MOST_TEXTS`` different runs (a passage in very many documents) is
    split: blocks of its windows are told apart by 128-bit hashes of their whole texts and
    of the middle their windows share, and halved where only the middle repeats.
@@ -34,6 +35,8 @@ ANCHOR = 32
 PIECE_BYTES, MOST_TEXTS, BATCH_BYTES = 4 << 20, 1000, 2 << 20
 #: Windows in a block of a split anchor.
 BLOCK = 16
+#: Windows whose anchors are found at once: their hashes stay in a core's cache.
+STEP = 1 << 14
 
 
 #: Base and byte table of a second hash, so that two of them tell texts apart by 128 bits.
@@ -56,6 +59,11 @@ class _Hashes:
         h = (self.sums[begin + length] - self.sums[begin]) * self.down[begin]
         return mix(mix(h ^ U(salt)) + np.asarray(length).astype(np.uint64))
 
+    def side_by_side(self, first: int, stop: int, length: int) -> np.ndarray:
+        """``of`` all positions from ``first`` to before ``stop``, by slices."""
+        h = (self.sums[first + length : stop + length] - self.sums[first:stop]) * self.down[first:stop]
+        return mix(mix(h) + U(length))
+
 
 def _window_min(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum over each ``width`` consecutive values."""
@@ -66,28 +74,34 @@ def _window_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - have)], x[width - have :]) if width > have else x
 
 
+def _anchors(hashes: _Hashes) -> np.ndarray:
+    """Where the anchor of each window begins: its ANCHOR-byte string with the smallest hash, the first of equal ones."""
+    n, wide, low = len(hashes.sums) - 1, LEAST - ANCHOR + 1, U((1 << 27) - 1)
+    out = np.empty(n - LEAST + 1, np.int32)
+    for o in range(0, len(out), STEP):
+        stop = min(o + STEP, len(out))
+        grams = hashes.side_by_side(o, stop + wide - 1, ANCHOR) & ~low
+        grams |= np.arange(o, stop + wide - 1, dtype=np.uint64)
+        out[o:stop] = _window_min(grams, wide) & low
+    return out
+
+
 def runs_of(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple:
     """Runs of windows in texts side by side: piece number, first window, how many, anchor, hash of the run."""
     none = np.zeros(0, np.int64)
-    if len(raw) < LEAST:
+    if not np.any(ends - starts >= LEAST):
         return none, none, none, none.view(np.uint64), none.view(np.uint64)
     hashes = _Hashes(raw)
-    grams = hashes.of(np.arange(len(raw) - ANCHOR + 1), ANCHOR)
-    low = U((1 << 27) - 1)
-    lowest = _window_min((grams & ~low) | np.arange(len(grams), dtype=np.uint64), LEAST - ANCHOR + 1)
-    fits = ends - starts >= LEAST
-    inside = np.zeros(len(raw) + 1, np.int32)
-    np.add.at(inside, starts[fits], 1)
-    np.add.at(inside, ends[fits] - LEAST + 1, -1)
-    at = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
-    if not len(at):
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
-    anchor = (lowest[at] & low).astype(np.int64)
-    piece = np.searchsorted(ends, at, side="right")
-    new = np.concatenate([[True], (np.diff(anchor) != 0) | (np.diff(piece) != 0)])
-    first = at[new]
-    many = np.diff(np.append(np.flatnonzero(new), len(at)))
-    return piece[new], first, many, grams[anchor[new]], hashes.of(first, many + LEAST - 1, 0x5DEECE66D)
+    at = _anchors(hashes)
+    windows = np.maximum(ends - starts - LEAST + 1, 0)
+    begins = starts[windows > 0]
+    inside = np.repeat(np.tile([True, False], len(starts)), np.stack([windows, ends - starts - windows], 1).ravel())[: len(at)]
+    new = np.append(True, at[1:] != at[:-1])
+    new[begins] = True
+    first = np.flatnonzero(new & inside)
+    piece = np.searchsorted(ends, first, side="right")
+    many = np.minimum(np.append(first[1:], len(at)), (starts + windows)[piece]) - first
+    return piece, first, many, hashes.of(at[first].astype(np.int64), ANCHOR), hashes.of(first, many + LEAST - 1, 0x5DEECE66D)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:

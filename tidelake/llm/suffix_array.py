@@ -5,6 +5,9 @@ Lyndon prefix: groups are taken in descending order, and the members of a group
 the suffixes that their previous-smaller pointers lead to into higher groups of their
 own.  Then, from the smallest suffix up, each placed suffix puts those whose Lyndon
 prefix ends where it begins into the next free place of their groups.
+
+``repeated_starts`` sorts only suffixes at tokens that the bytes themselves settle, about
+one in 32 bytes; strings that start elsewhere are found from the token after their start.
 """
 
 from __future__ import annotations
@@ -14,8 +17,8 @@ from itertools import groupby
 import numpy as np
 
 LEAST = 200
-_WHITE = np.zeros(256, bool)
-_WHITE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes that settle whether a token begins at the first of them; one string in 2 ** RARE of them does begin one.
+AHEAD, RARE = 4, 5
 
 
 def suffix_array(symbols: np.ndarray) -> list[int]:
@@ -89,23 +92,41 @@ def suffix_array(symbols: np.ndarray) -> list[int]:
         s = out[i]
 
 
-def _tokens(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _token_starts(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where tokens begin: settled by the AHEAD bytes from there on, so never nearer than that to the end of a text."""
+    n = len(raw)
+    four = np.zeros(n, np.uint32)
+    for k in range(min(AHEAD, n)):
+        four[: n - k] |= raw[k:].astype(np.uint32) << np.uint32(8 * k)
+    four *= np.uint32(0x9E3779B1)
+    four ^= four >> np.uint32(15)
+    four *= np.uint32(0x85EBCA77)
+    is_start = four < np.uint32(1 << (32 - RARE))
+    for k in range(1, AHEAD):
+        is_start[ends[ends >= k] - k] = False
+    return is_start
+
+
+def _tokens(data: bytes, starts: np.ndarray, ends: np.ndarray, is_start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of the texts' tokens, each text closed by one of its own, and where each begins (-1: no start for a match).
 
-    A token begins at every white-space byte, so where tokens begin is settled by the
-    bytes themselves; token numbers are in the order of their bytes.
+    Token numbers are in the order of the tokens' bytes and the AHEAD bytes after them,
+    which settle where a token ends; so suffixes with a common prefix are side by side.
     """
-    raw = np.frombuffer(data, np.uint8)
-    white = np.flatnonzero(_WHITE[raw])
+    at = np.flatnonzero(is_start)
+    edges = np.searchsorted(at, np.append(starts, len(data))).tolist()
+    at = at.tolist()
     cuts: list[bytes] = []
     begin: list[int] = []
     for k, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
-        own = white[np.searchsorted(white, a) : np.searchsorted(white, b)].tolist()
+        own = at[edges[k] : edges[k + 1]]
         if not own or own[0] != a:
             begin.append(-1)
-            cuts.append(data[a : own[0] if own else b])
+            cuts.append(data[a : own[0] + AHEAD if own else b])
         begin += own
-        cuts += [data[x:y] for x, y in zip(own, [*own[1:], b], strict=False)]
+        cuts += [data[x : y + AHEAD] for x, y in zip(own, own[1:], strict=False)]
+        if own:
+            cuts.append(data[own[-1] : b])
         begin.append(-1)
         cuts.append(None)  # type: ignore[arg-type]
     rank = {t: i for i, t in enumerate(sorted({t for t in cuts if t is not None}), len(starts))}
@@ -119,17 +140,25 @@ def _tokens(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarr
     return np.array(symbols), np.array(begin)
 
 
+def _shared(keys: np.ndarray) -> np.ndarray:
+    """Indices of the keys that occur more than once."""
+    order = np.argsort(keys)
+    same = keys[order[1:]] == keys[order[:-1]]
+    return order[np.append(same, False) | np.append(False, same)] if len(keys) else order
+
+
 def repeated_starts(texts: list[bytes], least: int = LEAST) -> list[np.ndarray]:
     """For each text, which of its ``least``-byte strings also start elsewhere in these texts."""
     data = b"".join(texts)
-    ends = np.cumsum([len(t) for t in texts])
-    starts = ends - [len(t) for t in texts]
+    ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+    starts = ends - np.array([len(t) for t in texts], np.int64)
     found = np.zeros(len(data) + 1, bool)
     raw = np.frombuffer(data + bytes(2 * least), np.uint8)
-    symbols, begin = _tokens(data, starts, ends)
-    q = begin[np.array(suffix_array(symbols), np.int64)]
+    is_start = _token_starts(raw[: len(data)], ends)
+    symbols, begin = _tokens(data, starts, ends, is_start)
+    q = begin[np.array(suffix_array(symbols), np.int64)] if len(symbols) else begin.astype(np.int64)
     q = q[q >= 0]
-    text_of = np.searchsorted(ends, np.arange(len(data)), side="right")
+    text_of = np.repeat(np.arange(len(texts)), ends - starts)
     text_end, text_start = ends[text_of], starts[text_of]
 
     # common bytes of neighbours in the suffix array
@@ -142,35 +171,43 @@ def repeated_starts(texts: list[bytes], least: int = LEAST) -> list[np.ndarray]:
         length = np.where(differ.any(axis=1), differ.argmax(axis=1), least)
         common[i : i + len(y)] = np.minimum(length, np.minimum(text_end[x] - x, text_end[y] - y))
 
-    # a match may begin up to ``least`` - 1 bytes before a token, inside the one before
+    # a match may begin before a token, inside the one before, but the AHEAD bytes of the token are in it
     at = np.arange(len(data))
-    is_white = _WHITE[raw[: len(data)]]
-    before = np.maximum.accumulate(np.where(is_white, at, -1))
+    far = least - AHEAD
+    before = np.maximum.accumulate(np.where(is_start, at, -1))
     previous = np.concatenate([[-1], before[:-1]])[q] if len(q) else q
-    room = np.minimum(q - np.maximum(previous + 1, text_start[q]), least - 1) if len(q) else q
+    room = np.minimum(q - np.maximum(previous + 1, text_start[q]), far) if len(q) else q
+    mate = np.maximum(common, np.append(common[1:], 0)) if len(q) else q
     left = np.zeros(len(q), np.uint64)
-    live = np.arange(len(q))
-    for d in range(least):
+    live = np.flatnonzero(mate >= least - room)
+    for d in range(far + 1):
         live = live[room[live] >= d]
         if not len(live):
             break
         if d:
             left[live] = (left[live] ^ raw[q[live] - d]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(d)
             left[live] ^= left[live] >> np.uint64(29)
-        own = live[q[live] - d + least <= text_end[q[live]]]
+        own = live[(q[live] - d + least <= text_end[q[live]]) & (mate[live] >= least - d)]
         if len(own) < 2:
             continue
         part = np.cumsum(common < least - d)[own].astype(np.uint64)
-        key = left[own] ^ (part * np.uint64(0xD6E8FEB86659FD93))
-        _, inverse, n = np.unique(key, return_inverse=True, return_counts=True)
-        found[q[own[n[inverse] > 1]] - d] = True
+        some = own[_shared(left[own] ^ (part * np.uint64(0xD6E8FEB86659FD93)))]
+        found[q[some] - d] = True
 
-    # strings without any token start
-    nxt = np.minimum.accumulate(np.where(is_white, at, len(data) + least)[::-1])[::-1] if len(data) else at
-    bare = np.flatnonzero((nxt >= at + least) & (at + least <= text_end)) if len(data) else at
+    # strings without any token start that they settle
+    nxt = np.minimum.accumulate(np.where(is_start, at, len(data) + least)[::-1])[::-1] if len(data) else at
+    bare = np.flatnonzero((nxt > at + far) & (at + least <= text_end)) if len(data) else at
     if len(bare) > 1:
-        whole: dict[bytes, int] = {}
-        for i in bare.tolist():
+        h = np.zeros(len(bare), np.uint64)
+        for d in range(least):
+            h = (h ^ raw[bare + d]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        some = _shared(h)
+        # only strings of one hash are held at once: texts of few different bytes may have no tokens at all
+        last, whole = None, {}
+        for i, k in zip(bare[some].tolist(), h[some].tolist(), strict=True):
+            if k != last:
+                last, whole = k, {}
             piece = data[i : i + least]
             if piece in whole:
                 found[i] = found[whole[piece]] = True
