@@ -321,6 +321,36 @@ def test_token_shards(docs, empty, tmp_path):
     assert token_shards.records(token_shards.sequences(empty, packaged(token_shards.VOCABULARY))).count() == 0
 
 
+def test_components_need_few_jobs(spark, monkeypatch):
+    """A long chain and a star: a few jobs where the links are few, the same components where they are many."""
+    from tidelake.llm import graph
+
+    r = random.Random(13)
+    chain = r.sample(range(1000), 400)
+    links = [*itertools.pairwise(chain), *((2000, 2001 + k) for k in range(300)), (5000, 5000), *((k, k + 7) for k in range(6000, 6100))]
+    r.shuffle(links)
+    df = spark.createDataFrame(links, "a long, b long").repartition(8)
+    root = {x: x for x in itertools.chain(*links)}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    want = {x: find(x) for x in root if find(x) != x}
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().nextJobId
+    began = jobs()
+    got = graph.components(df)
+    assert jobs() - began < 10
+    assert sorted(map(tuple, got.collect())) == sorted(want.items())
+    monkeypatch.setattr(graph, "BLOCK", 100)
+    assert sorted(map(tuple, graph.components(df).collect())) == sorted(want.items())
+    assert graph.components(df.limit(0)).count() == 0
+
+
 def test_language(spark, empty):
     sounds = {"aa": "the and of ing tion er", "bb": "der die und ung ein sch", "cc": "le la que aux eau é"}
     r = random.Random(4)

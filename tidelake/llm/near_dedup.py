@@ -257,7 +257,7 @@ class _Search:
         parts = n_parts(live.sparkSession)
         mixed = live.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("vid").alias("low")).filter("lo < hi")
         some = materialize(live.join(mixed.select("bucket", "low").hint("shuffle_merge"), "bucket").select("vid", "comp", "low"), "rest")
-        cluster = components(some.select(F.col("vid").alias("a"), F.col("low").alias("b")).distinct())
+        cluster = components(some.select(F.col("vid").alias("a"), F.col("low").alias("b")))
         members = some.select("vid", "comp").distinct().join(self.info.hint("shuffle_merge"), "vid")
         members = _labelled(members.withColumnRenamed("comp", "own"), cluster).withColumnsRenamed({"comp": "cluster", "own": "comp"})
         members = members.select("cluster", "n", "vid", "comp", *[f"s{i}" for i in range(SKETCH_BITS // 64)])
