@@ -321,6 +321,41 @@ def test_token_shards(docs, empty, tmp_path):
     assert token_shards.records(token_shards.sequences(empty, packaged(token_shards.VOCABULARY))).count() == 0
 
 
+def test_pair_merges_are_the_library_s():
+    """New words are encoded together: the library's ids, in far less time."""
+    import json
+    import time
+
+    from tidelake.llm import byte_pairs, distinct_words
+
+    data = token_shards.file_bytes(packaged(token_shards.VOCABULARY))
+    split = distinct_words.WordSplitter(data)
+    merges = byte_pairs.PairMerges.of(data, split.letters)
+    r = random.Random(12)
+    words = {"".join(r.choices(["th", "in", "er", "a", "on", "re", "st"], k=r.randint(2, 6))) for _ in range(20_000)}
+    words |= {"".join(r.choices(r.choice(["ab", "a é日😀", " x", "0-=", "\n\t "]), k=r.randint(1, 20))) for _ in range(10_000)}
+    words |= {"x" * k for k in range(1, 65)} | {" " * k for k in range(1, 65)}
+    words = sorted(w for w in words if len(w.encode()) <= merges.LONGEST)
+    began = time.process_time()
+    want = [split.pieces(w) for w in words]
+    between = time.process_time()
+    ids, size = merges([w.encode() for w in words])
+    assert time.process_time() - between < 0.75 * (between - began)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] == want
+    # a slice with long and short words, and one with none that is new
+    texts = [" ".join(words[:3000]), "y" * 500 + " z" * 200, None, "", "<|endoftext|>a"]
+    encode = token_shards._Ids(split, merges)
+    for own in (texts, texts[::-1], texts[2:]):
+        got, ends = encode(own)
+        want = [[*split.library.encode(t or "", add_special_tokens=False).ids, token_shards.END] for t in own]
+        assert np.frombuffer(got, "<u2").tolist() == sum(want, []) and ends == np.cumsum([2 * len(x) for x in want]).tolist()
+    assert token_shards._Ids(split, None)(texts) == token_shards._Ids(split, merges)(texts)
+    # a merge that ranks before one of its parts: left to the library
+    model = json.loads(data)
+    model["model"]["merges"] = model["model"]["merges"][::-1]
+    assert byte_pairs.PairMerges.of(json.dumps(model).encode(), split.letters) is None
+
+
 def test_components_need_few_jobs(spark, monkeypatch):
     """A long chain and a star: a few jobs where the links are few, the same components where they are many."""
     from tidelake.llm import graph

@@ -83,7 +83,7 @@ class WordSplitter:
         #: Special strings in texts are tokens of their own: code i stands for the i-th.
         self.special = [(a.content, i) for i, a in added]
         self._cut = re.compile("(" + "|".join(re.escape(s) for s, _ in sorted(self.special, key=lambda x: -len(x[0]))) + ")") if added else None
-        self._letters = _byte_letters()
+        self.letters = _byte_letters()
         self._odd = re.compile(f"[^\x00-{chr(PLAIN - 1)}]")
         quick = ((low, _quick_pattern(p)) for low, p in _QUICK.values())
         self.quick = next((q for q in quick if self._agrees(*q)), None)
@@ -120,7 +120,7 @@ class WordSplitter:
 
     def pieces(self, word: str) -> list[int]:
         """Ids of one word."""
-        return [t.id for t in self.library.model.tokenize(word.encode().decode("latin-1").translate(self._letters))]
+        return [t.id for t in self.library.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
 
 
 def _pack(x: np.ndarray) -> bytes:

@@ -18,10 +18,11 @@ no rows; other columns are not used.
 from __future__ import annotations
 
 import struct
-import sys
 import uuid
-from array import array
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import count, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +30,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelake.llm.byte_pairs import PairMerges, runs
 from tidelake.llm.common import file_bytes, materialize, packaged, table
-from tidelake.llm.distinct_words import WordSplitter
-from tidelake.llm.shingles import U, mix
+from tidelake.llm.distinct_words import SLICE, WordSplitter
+from tidelake.llm.shingles import U, mix, slices
 
 VOCABULARY, END = "byte_bpe_50k.json", 50256
 LENGTH, PER_SHARD, KEY, ROUNDS = 256, 8192, 20240229, 6
 MAGIC, HEADER = b"TIDESEQ1", 64
-#: Words whose ids a task keeps; it forgets them all at that number.
+#: Words whose ids a task keeps; beyond that number it forgets them all before the next slice.
 _KEPT_WORDS = 1_000_000
 _BATCH = 2048
 
@@ -68,37 +70,70 @@ def feistel(x: np.ndarray, n: int, key: int = KEY, inverse: bool = False) -> np.
     return out.astype(np.int64)
 
 
-class _Known(dict):
-    """Ids of words as bytes; a word is encoded when it is first asked for."""
-
-    def __init__(self, split: WordSplitter):
-        super().__init__((i, _ids([t])) for i, (_, t) in enumerate(split.special))
-        self._pieces = split.pieces
-
-    def __missing__(self, word: str) -> bytes:
-        found = self[word] = _ids(self._pieces(word))
-        return found
-
-
-def _ids(ids: list[int]) -> bytes:
-    out = array("H", ids)
-    if sys.byteorder == "big":
-        out.byteswap()
-    return out.tobytes()
+class _Ids:
+    """Ids of texts; a word has a code, and its ids are found once, for all new words together."""
+
+    def __init__(self, split: WordSplitter, merges: PairMerges | None):
+        self._split, self._merges = split, merges
+        self.known: defaultdict = defaultdict(count().__next__)
+        for x in (None, *range(len(split.special))):  # None ends a text
+            self.known[x]  # noqa: B018  the first codes
+        self._ids = np.array([END, *(t for _, t in split.special)], "<u2")
+        self._ends = np.arange(len(self._ids) + 1)
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new words, in the order of their codes; words the merges do not take go to the library."""
+        spelled = [w.encode() for w in words]
+        far = np.fromiter(map(len, spelled), np.int64, len(spelled)) > (self._merges.LONGEST if self._merges else 0)
+        long, short = np.flatnonzero(far), np.flatnonzero(~far)
+        found = [np.array(self._split.pieces(words[k]), "<u2") for k in long.tolist()]
+        size = np.zeros(len(words), np.int64)
+        size[long] = [len(x) for x in found]
+        if len(short):
+            ids, size[short] = self._merges([spelled[k] for k in short.tolist()] if found else spelled)
+            found.append(ids)
+        ends = np.cumsum(size)
+        order = np.concatenate([long, short])
+        more = np.empty(ends[-1], "<u2")
+        more[runs((ends - size)[order], size[order])] = np.concatenate(found)
+        self._ids, self._ends = np.concatenate([self._ids, more]), np.concatenate([self._ends, self._ends[-1] + ends])
+
+    def __call__(self, texts: list[str | None]) -> tuple[bytes, list[int]]:
+        """Ids of all texts as bytes, an end token after each, and where each text ends."""
+        codes = []
+        for text in texts:
+            words = self._split(text or "")
+            words.append(None)
+            codes.append(np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)))
+        new = len(self.known) - len(self._ends) + 1
+        if new:
+            self._learn(list(islice(reversed(self.known), new))[::-1])
+        every = np.concatenate(codes)
+        begin = self._ends[every]
+        size = self._ends[every + 1] - begin
+        ends = np.cumsum(size)[np.cumsum([len(x) for x in codes]) - 1]
+        return self._ids[runs(begin, size)].tobytes(), (2 * ends).tolist()
+
+
+@lru_cache(maxsize=1)
+def _tools(vocabulary: bytes) -> tuple[WordSplitter, PairMerges | None]:
+    """Made once a worker: it takes most of a second."""
+    split = WordSplitter(vocabulary)
+    return split, PairMerges.of(vocabulary, split.letters)
 
 
 def _encode(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, part = WordSplitter(vocabulary.value), TaskContext.get().partitionId()
-        known, number, end = _Known(split), 0, _ids([END])
-        for batch in batches:
+        tools, part = _tools(vocabulary.value), TaskContext.get().partitionId()
+        encode, number = _Ids(*tools), 0
+        for batch in (x for whole in batches for x in slices(whole, "text", SLICE)):
             out: dict[str, list] = {k: [] for k in ("split", "number", "doc_id", "part", "ids")}
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if len(known) > _KEPT_WORDS:
-                    known = _Known(split)
-                ids = b"".join(map(known.__getitem__, split(text or ""))) + end
-                for k, at in enumerate(range(0, len(ids), 2 * LENGTH)):
-                    for c, v in zip(out, (part, number, doc, k, ids[at : at + 2 * LENGTH]), strict=True):
+            if len(encode.known) > _KEPT_WORDS:
+                encode = _Ids(*tools)
+            ids, ends = encode(batch.column(1).to_pylist())
+            for doc, (begin, end) in zip(batch.column(0).to_pylist(), pairwise([0, *ends]), strict=True):
+                for k, at in enumerate(range(begin, end, 2 * LENGTH)):
+                    for c, v in zip(out, (part, number, doc, k, ids[at : min(end, at + 2 * LENGTH)]), strict=True):
                         out[c].append(v)
                     number += 1
                 if len(out["ids"]) > _BATCH:
